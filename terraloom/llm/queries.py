@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ogg_media, sharding
+from . import bpe, chat_format, exact_dedup, ogg_media, sharding
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(documents(spark, sf_dir))
 
@@ -27,5 +31,5 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op4_sharding, op5_media, op7_exact_dedup)}
-ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_chat_format, op4_sharding, op5_media, op7_exact_dedup)}
+ORACLES: dict[str, str] = {"op3_chat_format": chat_format.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
