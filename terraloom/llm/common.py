@@ -70,3 +70,21 @@ def batch_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id (as long) and the text: columns of the input with any other name can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+#: A group with more than this share of all rows is hot; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+
+
+def looked_up(rows: DataFrame, groups: DataFrame, on: str, size_col: str, total: int) -> DataFrame:
+    """rows with the columns of groups, whose keys are unique; total: rows in all groups.
+
+    Hot groups, at most 1 / HOT_SHARE by their sizes, are broadcast; the others, none of them large, are joined by key.
+    """
+    hot = F.col(size_col) > max(1.0, total * HOT_SHARE)
+    others = [c for c in groups.columns if c != on]
+    marked = rows.join(F.broadcast(groups.filter(hot).withColumnsRenamed({c: f"__{c}" for c in others})), on, "left")
+    is_hot = F.col(f"__{size_col}").isNotNull()
+    found = marked.filter(is_hot).select(*rows.columns, *(F.col(f"__{c}").alias(c) for c in others))
+    rest = marked.filter(~is_hot).select(*rows.columns).join(groups.filter(~hot), on).select(*rows.columns, *others)
+    return found.unionByName(rest)

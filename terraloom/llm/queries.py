@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, ogg_media, sharding
+from . import bpe, chat_format, exact_dedup, jaccard_join, langid, licences, ogg_media, packing, sharding
 from .common import documents
 
 
@@ -27,9 +27,25 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.text_media(documents(spark, sf_dir), with_media=False)
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_chat_format, op4_sharding, op5_media, op7_exact_dedup)}
-ORACLES: dict[str, str] = {"op3_chat_format": chat_format.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_chat_format, op4_sharding, op5_media, op6_licences, op7_exact_dedup, op8_packing, op9_jaccard_join, op10_language_id)}
+ORACLES: dict[str, str] = {"op3_chat_format": chat_format.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
