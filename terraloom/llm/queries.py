@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, jaccard_join, langid, licences, ogg_media, packing, sharding
+from . import bpe, chat_format, exact_dedup, jaccard_join, langid, licences, lm, ogg_media, packing, sharding
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False)
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(documents(spark, sf_dir))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -47,5 +51,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_chat_format, op4_sharding, op5_media, op6_licences, op7_exact_dedup, op8_packing, op9_jaccard_join, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_lm_scores, op3_chat_format, op4_sharding, op5_media, op6_licences, op7_exact_dedup, op8_packing, op9_jaccard_join, op10_language_id)}
 ORACLES: dict[str, str] = {"op3_chat_format": chat_format.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
