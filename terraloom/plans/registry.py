@@ -1,4 +1,6 @@
 """The registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import land_change  # noqa: F401
+from .common import ORACLES, QUERIES  # noqa: F401
