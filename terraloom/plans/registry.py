@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import land_change  # noqa: F401
+from . import land_change, observations  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
