@@ -36,3 +36,19 @@ def session(master: str | None = None, partitions: int = 8, **conf: str) -> Spar
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def kept(df, name: str):
+    """Writes df to the folder that the cluster names in spark.checkpoint.dir and reads it back; cuts the lineage."""
+    import uuid
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:  # one machine, as in tests
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="terraloom-"))
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
