@@ -48,7 +48,7 @@ def citation_key(author: Column, year: Column, title: Column) -> Column:
 
 
 def escaped(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?<!\\)&", r"\\\\&")
+    return F.regexp_replace(s, r"(?<!\\)&", r"\\&")
 
 
 def record_type(s: Column) -> Column:

@@ -23,26 +23,25 @@ def random_forest(train: DataFrame, rows: DataFrame, label: str, features: list[
 
 
 def segmented(years: np.ndarray, values: np.ndarray, segments: int = 6, recovery: float = 0.25, gain: float = 0.02) -> np.ndarray:
-    """A broken line through a series: vertices are added where the fit is worst, while they lower the squared error enough.
-
-    A segment that recovers faster than 1 / recovery years is not allowed.
+    """A broken line through a series. Vertices are added one by one where the line is farthest off; of these lines the one
+    with the least squared error stays, each vertex costing `gain` of the series' own. A line with a segment that recovers
+    faster than 1 / recovery years is not taken.
     """
     n = len(years)
     vertex = [0, n - 1] if n > 1 else [0]
-    line = lambda v: np.interp(years, years[v], values[v])
-    fit = line(vertex)
     spread = float(((values - values.mean()) ** 2).sum()) or 1.0
-    while len(vertex) <= segments and n > 2:
+    best = None
+    while True:
+        fit = np.interp(years, years[vertex], values[vertex])
+        rise = np.diff(fit) / np.diff(years) / (np.ptp(values) or 1.0)
+        cost = float(((values - fit) ** 2).sum()) + gain * spread * len(vertex)
+        if best is None or cost < best[0] and not (rise > 1 / recovery).any():
+            best = cost, fit
         off = np.abs(values - fit)
-        off[vertex] = -1
-        k = int(off.argmax())
-        trial = sorted({*vertex, k})
-        new = line(trial)
-        rise = np.diff(new) / np.diff(years) / (np.ptp(values) or 1.0)
-        if off[k] <= 0 or (((values - fit) ** 2).sum() - ((values - new) ** 2).sum()) / spread < gain or (rise > 1 / recovery).any():
-            break
-        vertex, fit = trial, new
-    return fit
+        off[vertex] = 0
+        if len(vertex) > segments or off.max() <= 0:
+            return best[1]
+        vertex = sorted({*vertex, int(off.argmax())})
 
 
 def disturbances(df: DataFrame, cell: str, year: str, value: str, least: float = 0.0) -> DataFrame:

@@ -22,7 +22,7 @@ def bibtex_keys(spark: SparkSession, path: str) -> DataFrame:
     """Keys and lower-case DOIs of a BibTeX file: kind ('key' or 'doi'), value."""
     t = spark.read.text(path, wholetext=True)
     keys = t.select(F.lit("key").alias("kind"), F.explode(F.regexp_extract_all("value", F.lit(r"@\w+\{\s*([^,\s]+)\s*,"))).alias("value"))
-    dois = t.select(F.lit("doi").alias("kind"), F.lower(F.explode(F.regexp_extract_all("value", F.lit(r"(?i)doi\s*=\s*\{([^}]*)\}")))).alias("value"))
+    dois = t.select(F.lit("doi").alias("kind"), F.explode(F.transform(F.regexp_extract_all("value", F.lit(r"(?i)doi\s*=\s*\{([^}]*)\}")), F.lower)).alias("value"))
     return keys.unionByName(dois).distinct()
 
 
