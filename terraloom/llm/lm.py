@@ -26,6 +26,8 @@ from .common import fresh_path, keyed_texts, small_batches, texts_of
 END = mix(np.array([0x51ED270B, 0xB0A3C1D9], U))[0]
 #: Entries that a task adds up before it sends them on; the numbers in one file of word sums.
 MOST_ENTRIES, RANGE = 4_000_000, 1 << 18
+#: Sums of a word: tokens after it, distinct words after it seen once, twice, more often, and distinct words before it.
+SUMS = np.dtype([("n", "<u8"), ("kinds", "<u4", 4)])
 
 
 class Store:
@@ -65,6 +67,13 @@ class Store:
         return self.maps[name]
 
 
+def put_counts(store: Store, name: str, counts: np.ndarray) -> None:
+    """A byte a count; 255 stands for counts that are listed, with their places, in a file of their own."""
+    store.put(f"{name}.counts", np.minimum(counts, 255).astype(np.uint8))
+    large = np.flatnonzero(counts >= 255)
+    store.put(f"{name}.large", np.stack([large, counts[large]]).astype(np.int64))
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
     if not len(keys):
@@ -143,9 +152,17 @@ class Model:
             at = np.minimum(np.searchsorted(there, keys[a:b]), len(there) - 1)
             hit = np.flatnonzero(there[at] == keys[a:b])
             number[a + hit] = at[hit] + (offsets[s] if offsets is not None else 0)
-            count[a + hit] = self.store.map(f"{prefix}-{s}.counts", np.uint32)[at[hit]]
+            count[a + hit] = self._counts(f"{prefix}-{s}", at[hit])
         return number, count
 
+    def _counts(self, name: str, at: np.ndarray) -> np.ndarray:
+        out = self.store.map(f"{name}.counts", np.uint8)[at].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            there = self.store.map(f"{name}.large", np.int64).reshape(2, -1)
+            out[big] = there[1][np.searchsorted(there[0], at[big])]
+        return out
+
     def numbered(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each word, -1 if unknown, and its training count."""
         keys, back = np.unique(hashes, return_inverse=True)
@@ -163,7 +180,8 @@ class Model:
         out = np.zeros((len(number), 5), np.int64)
         for r in np.unique(number // RANGE):
             k = np.flatnonzero(number // RANGE == r)
-            out[k] = self.store.map(f"sums-{r}", np.int64).reshape(-1, 5)[number[k] - r * RANGE]
+            rows = self.store.map(f"sums-{r}", SUMS)[number[k] - r * RANGE]
+            out[k, 0], out[k, 1:] = rows["n"], rows["kinds"]
         return out
 
     def lower(self, before: np.ndarray) -> np.ndarray:
@@ -226,7 +244,7 @@ def train(texts: DataFrame) -> Model:
         shard = table.column("shard")[0].as_py()
         keys, counts = summed(_joined(table, "keys", U), _joined(table, "counts", np.uint32).astype(np.int64))
         store.put(f"words-{shard}.keys", keys)
-        store.put(f"words-{shard}.counts", counts.astype(np.uint32))
+        put_counts(store, f"words-{shard}", counts)
         return pa.table({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())]})
 
     got = texts.mapInArrow(count_words, BLOB).groupBy("shard").applyInArrow(keep_words, "shard long, n long, total long").collect()
@@ -254,7 +272,7 @@ def train(texts: DataFrame) -> Model:
         hashed = mix(keys)
         order = np.argsort(hashed)
         store.put(f"pairs-{shard}.keys", hashed[order])
-        store.put(f"pairs-{shard}.counts", counts[order].astype(np.uint32))
+        put_counts(store, f"pairs-{shard}", counts[order])
         rows = [(-1, np.array([len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))], np.int64), np.zeros(0, np.int64))]
         left, right = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
         word, back = np.unique(np.concatenate([left, right]), return_inverse=True)
@@ -267,7 +285,7 @@ def train(texts: DataFrame) -> Model:
         for q in np.unique(word // RANGE):
             mine = word // RANGE == q
             rows.append((int(q), word[mine], sums[mine]))
-        return pa.table({"shard": pa.array([q for q, _, _ in rows], pa.int64()), "keys": pa.array([a.astype("<i8").tobytes() for _, a, _ in rows], pa.binary()), "counts": pa.array([b.astype("<u4").tobytes() if q >= 0 else b"" for q, _, b in rows], pa.binary())})
+        return pa.table({"shard": pa.array([q for q, _, _ in rows], pa.int64()), "keys": pa.array([a.astype("<i8").tobytes() for _, a, _ in rows], pa.binary()), "counts": pa.array([b.astype("<i8").tobytes() if q >= 0 else b"" for q, _, b in rows], pa.binary())})
 
     def keep_sums(table: pa.Table) -> pa.Table:
         q = table.column("shard")[0].as_py()
@@ -275,8 +293,10 @@ def train(texts: DataFrame) -> Model:
             total = _joined(table, "keys", np.int64).reshape(-1, 5).sum(0)
             return pa.table({"shard": [q], "sums": [[int(x) for x in total]]})
         out = np.zeros((RANGE, 5), np.int64)
-        np.add.at(out, _joined(table, "keys", np.int64) - q * RANGE, _joined(table, "counts", np.uint32).reshape(-1, 5).astype(np.int64))
-        store.put(f"sums-{q}", out[: max(0, min(RANGE, model.words + 1 - q * RANGE))])
+        np.add.at(out, _joined(table, "keys", np.int64) - q * RANGE, _joined(table, "counts", np.int64).reshape(-1, 5))
+        rows = np.zeros(max(0, min(RANGE, model.words + 1 - q * RANGE)), SUMS)
+        rows["n"], rows["kinds"] = out[: len(rows), 0], out[: len(rows), 1:]
+        store.put(f"sums-{q}", rows)
         return pa.table({"shard": [q], "sums": [[int((out[:, 4] == k).sum()) for k in (1, 2, 3, 4)] + [int((out[:, 4] > 2).sum())]]})
 
     pairs = texts.mapInArrow(count_pairs, BLOB).groupBy("shard").applyInArrow(keep_pairs, BLOB)
