@@ -147,7 +147,7 @@ def terrain_slope(spark: SparkSession, d: str) -> DataFrame:
 
 @query(GRID + """, s AS (SELECT r * 2147483648::BIGINT + c AS id, r, c, k FROM g),
  l AS (SELECT id, id AS p, r, c, k FROM s UNION SELECT b.id, l.p, b.r, b.c, b.k FROM l JOIN s b ON l.k = b.k AND abs(l.r - b.r) + abs(l.c - b.c) = 1 AND b.id > l.p),
- m AS (SELECT id, k, min(p) AS p FROM l GROUP BY 1, 2), q AS (SELECT k, p, count(*) * 0.09 AS a FROM m GROUP BY 1, 2), t AS (SELECT count(*) * 0.09 AS t FROM s)
+ m AS (SELECT id, k, min(p) AS p FROM l GROUP BY 1, 2), q AS (SELECT k, p, count(*) * 0.09::DOUBLE AS a FROM m GROUP BY 1, 2), t AS (SELECT count(*) * 0.09 AS t FROM s)
  SELECT k AS class_id, count(*) AS np, round(sum(a), 4) AS class_area, round(count(*) / any_value(t) * 100, 5) AS pd, round(max(a) / any_value(t) * 100, 5) AS lpi, round(avg(a), 6) AS area_mn, round(stddev_pop(a), 6) AS area_sd FROM q, t GROUP BY k""")
 def patch_metrics(spark: SparkSession, d: str) -> DataFrame:
     m = focal.patch_metrics(focal.patches(_grid(spark, d), "class_id"), "class_id", 0.09)
