@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import NOT_SPACE, U, Words, mix, pieces_of
@@ -23,6 +23,8 @@ BAND = 1.15
 BLOCK = 3000
 #: Weight of an expected false candidate against a signature, in the cost of an allocation.
 CANDIDATE_COST = 4.0
+#: Rows drawn to find common shingles, and the most common shingles that workers are told.
+SAMPLE, COMMON = 20_000, 200_000
 _ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 
 
@@ -138,21 +140,65 @@ class Signatures:
         return np.concatenate(out)
 
 
+class Prefixes:
+    """Signatures of a set: its first shingles in one order of all shingles, those common in a sample last, else by hash.
+
+    Of linked sets, each has HUNDREDTHS hundredths of its shingles in the other, so the sets meet in these prefixes. Any
+    order gives every link; this one keeps a passage that many texts have from making them candidates.
+    """
+
+    def __init__(self, hundredths: int, common: np.ndarray, counts: np.ndarray):
+        self.hundredths, self.common, self.counts = hundredths, common, counts
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        n = len(s)
+        if not n:
+            return s
+        often = np.zeros(n, np.int64)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
+            often = np.where(self.common[at] == s, self.counts[at], 0)
+        return s[np.argsort(often, kind="stable")[: n + 1 - -(-n * self.hundredths // 100)]]
+
+
+def _common(texts: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles, sorted, that several of about SAMPLE rows have, and how many; the rarest are left out beyond COMMON."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _rows(batches, n):
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+    drawn = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // SAMPLE))) == 0)
+    found = stored(drawn.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-common")
+    least, kept = 2, 0
+    for often, shingles in sorted(found.groupBy("n").count().collect(), reverse=True):
+        kept += shingles
+        if kept > COMMON:
+            least = often + 1
+            break
+    t = found.filter(F.col("n") >= least).toArrow()
+    common = t.column("shingle").to_numpy().view(U)
+    order = np.argsort(common)
+    return common[order], t.column("n").to_numpy()[order]
+
+
 def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for b in batches:
         every = texts_of(b, "text")
         yield b, [s for i, j in pieces_of(every) for s in sets_of(every[i:j], n)]
 
 
-def _classes(texts: DataFrame, n: int) -> DataFrame:
+def _classes(texts: DataFrame, n: int, sketched: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _rows(batches, n):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class"])
+            out = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class"])
+            yield out.append_column("sketch", pa.array([sketches([s], 1 << (len(s) // 64).bit_length()).tobytes() for s in sets], pa.binary())) if sketched else out
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, class long" + ", sketch binary" * sketched)
 
 
-def _signatures(texts: DataFrame, n: int, signs: Signatures) -> DataFrame:
+def _signatures(texts: DataFrame, n: int, signs: Signatures | Prefixes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a class signs once a task
         for _, sets in _rows(batches, n):
@@ -229,13 +275,103 @@ def linked_pairs(ids: list[int], sets: list[np.ndarray], hundredths: int, apart:
     return out
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hundredths: int = HUNDREDTHS) -> DataFrame:
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which sketches, row by row, differ; the longer are folded to the length of the others."""
+    while x.shape[1] != y.shape[1]:
+        x, y = (x, y) if x.shape[1] > y.shape[1] else (y, x)
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, hundredths: int) -> DataFrame:
+    """The pairs (a, b) of classes that are links: sketches drop most of the others, the sets decide."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            sa, sb = (b.column(c).to_pylist() for c in ("sa", "sb"))
+            keep, kinds = np.zeros(b.num_rows, bool), {}
+            for k, kind in enumerate(zip(map(len, sa), map(len, sb), strict=True)):
+                kinds.setdefault(kind, []).append(k)
+            for (la, lb), at in kinds.items():
+                x, y = (np.frombuffer(b"".join(s[k] for k in at), U).reshape(-1, w // 8) for s, w in ((sa, la), (sb, lb)))
+                keep[at] = _apart(x, y) <= differences(total[at], hundredths)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both, keep = (texts_of(batch, "ta"), texts_of(batch, "tb")), []
+            sets = [[s for i, j in pieces_of(t) for s in sets_of(t[i:j], shingle)] for t in both]
+            for x, y, a, b in zip(*sets, batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                same = class_of(x) == a and class_of(y) == b  # a repeated id may bring another text
+                keep.append(same and links(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y), hundredths))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (classes.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(sift, "a long, b long"), "jaccard-near")
+    used = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    found = stored(texts.join(classes.join(used, "class").select("class", F.col("first_doc").alias("doc_id")), "doc_id").select("class", "text"), "jaccard-texts")
+    left, right = (found.select(F.col("class").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+    return stored(near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(decide, "a long, b long"), "jaccard-links")
+
+
+def _linked_by_prefixes(signed: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, hundredths: int) -> DataFrame:
+    """Links that connect what is connected by links, of classes with a common signature, pair by pair.
+
+    First each class meets one of those of its signature, another for each signature; what that joins needs no more
+    comparison. Then all pairs that share a signature and are not joined yet meet.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    same = Window.partitionBy("sig")
+    hub = F.min(F.struct(F.xxhash64("class", "sig"), "class")).over(same)["class"]
+    shared = signed.repartition(n, "sig").withColumn("hub", hub).withColumn("met", F.count("*").over(same)).filter("met > 1").select("sig", "class", "hub")
+    shared = stored(shared.join(classes.select("class", "n"), "class").distinct(), "jaccard-shared")
+    hubs = classes.select(F.col("class").alias("hub"), F.col("n").alias("hub_n"))
+    alike = lambda x, y: 100 * F.least(x, y) >= hundredths * F.greatest(x, y)
+    stars = shared.filter("class <> hub").join(hubs, "hub").filter(alike("n", "hub_n")).select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
+    first = verified(stars, classes, texts, shingle, hundredths)
+    roots = components(first).select(F.col("node").alias("class"), "root")
+    rest = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rest = rest.withColumn("some", F.min("root").over(same)).withColumn("other", F.max("root").over(same)).filter("some <> other")
+    x, y = (rest.select("sig", F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
+    pairs = x.join(y, "sig").filter(F.expr("a > b AND ra <> rb") & alike("na", "nb")).select("a", "b").distinct()
+    second = verified(pairs.join(stars, ["a", "b"], "left_anti"), classes, texts, shingle, hundredths)
+    return first.unionByName(second)
+
+
+def _linked_by_clusters(signed: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, hundredths: int) -> DataFrame:
+    """Links that connect what is connected by links, of classes that common signatures connect, cluster by cluster."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stars = signed.repartition(n, "sig").sortWithinPartitions("sig", "class").mapInArrow(_stars, "a long, b long").distinct()
+    clusters = components(stars)
+    clusters = stored(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("class"), F.col("root").alias("cluster")).distinct()), "jaccard-clusters")
+    sized = clusters.groupBy("cluster").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    members = clusters.join(sized, "cluster").join(classes, "class").select("class", "cluster", "blocks", F.pmod("class", "blocks").alias("block"), "first_doc")
+    found = texts.join(members, texts["doc_id"] == members["first_doc"])
+    one = F.col("block")
+    pairs = found.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.select("class", "cluster", "text", F.least(one, "other").alias("low"), F.greatest(one, "other").alias("high"), one.alias("block"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        by_class = {c: (k, t) for c, k, t in zip(table.column("class").to_pylist(), table.column("block").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True)}
+        ids = sorted(by_class, key=lambda c: (by_class[c][0], c))
+        sets = [s for i, j in pieces_of([by_class[c][1] or b"" for c in ids]) for s in sets_of([by_class[c][1] or b"" for c in ids[i:j]], shingle)]
+        got = linked_pairs(ids, sets, hundredths, sum(by_class[c][0] == low for c in ids) if low != high else 0)
+        return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
+    return stored(pairs.groupBy("cluster", "low", "high").applyInArrow(verify, "a long, b long"), "jaccard-links")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hundredths: int = HUNDREDTHS, prefixes: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the least doc_id that links reach.
 
     Shingles are hashed to 64 bits. Rows with one set are a class, which signs once a task. Hashes are cut into segments by
     size band; classes with a common signature (a segment's content, or, where the allocation says so, that content less
     one element) are candidates, linked in stars. A component of candidates contains every component of links in it; its
     classes' sets meet in one task, or block by block if there are more than BLOCK, and links are verified on the sets.
+    With `prefixes`, a set's signatures are its rarest shingles instead, as Prefixes has it, and pairs are verified one by one,
+    not clusters: for sets that differ in so much that segments would be short.
 
     Null, empty and blank texts have no shingles and are alone. Repeated rows and ids are rows of one component. A null id
     is never a component's id unless alone. Empty table: no rows. Other columns are not read.
@@ -243,46 +379,30 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     small_batches(spark)
     texts = keyed_texts(df, id_col, text_col)
-    rows = stored(_classes(texts, shingle), "jaccard-rows")
+    rows = stored(_classes(texts, shingle, prefixes), "jaccard-rows")
     total = rows.count()
-    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), *[F.first("sketch").alias("sketch")] * prefixes)
     classes = stored(classes, "jaccard-classes")
     most = classes.agg(F.max("n")).first()[0] or 0
     every = bands(hundredths, most)
     label = classes.select("class", "copies", F.col("first_doc").alias("component_id"))
     if every:
-        lows = [lo for lo, _ in every]
-        band = sum((F.col("n") >= lo).cast("int") for lo in lows) - 1
-        counts = {r[0]: r[1] for r in classes.groupBy(band.alias("band")).count().collect()}
-        signs = Signatures(hundredths, counts, most)
+        if prefixes:
+            signs = Prefixes(hundredths, *_common(texts, shingle, total))
+        else:
+            lows = [lo for lo, _ in every]
+            band = sum((F.col("n") >= lo).cast("int") for lo in lows) - 1
+            counts = {r[0]: r[1] for r in classes.groupBy(band.alias("band")).count().collect()}
+            signs = Signatures(hundredths, counts, most)
         signed = _signatures(texts, shingle, signs)
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        stars = signed.repartition(n, "sig").sortWithinPartitions("sig", "class").mapInArrow(_stars, "a long, b long").distinct()
-        clusters = components(stars)
-        clusters = stored(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("class"), F.col("root").alias("cluster")).distinct()), "jaccard-clusters")
-        sized = clusters.groupBy("cluster").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-        members = clusters.join(sized, "cluster").join(classes, "class").select("class", "cluster", "blocks", F.pmod("class", "blocks").alias("block"), "first_doc")
-        found = texts.join(members, texts["doc_id"] == members["first_doc"])
-        one = F.col("block")
-        pairs = found.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        pairs = pairs.select("class", "cluster", "text", F.least(one, "other").alias("low"), F.greatest(one, "other").alias("high"), one.alias("block"))
-
-        def verify(table: pa.Table) -> pa.Table:
-            low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-            by_class = {c: (k, t) for c, k, t in zip(table.column("class").to_pylist(), table.column("block").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True)}
-            ids = sorted(by_class, key=lambda c: (by_class[c][0], c))
-            sets = [s for i, j in pieces_of([by_class[c][1] or b"" for c in ids]) for s in sets_of([by_class[c][1] or b"" for c in ids[i:j]], shingle)]
-            got = linked_pairs(ids, sets, hundredths, sum(by_class[c][0] == low for c in ids) if low != high else 0)
-            return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
-
-        linked = stored(pairs.groupBy("cluster", "low", "high").applyInArrow(verify, "a long, b long"), "jaccard-links")
+        linked = (_linked_by_prefixes if prefixes else _linked_by_clusters)(signed, classes, texts, shingle, hundredths)
         roots = components(linked).select(F.col("node").alias("class"), "root")
         label = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         least = label.groupBy("root").agg(F.min("first_doc").alias("component_id"))
         label = label.join(least, "root").select("class", "copies", "component_id")
     label = stored(label, "jaccard-labels")
     alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return looked_up(rows.filter("n_shingles > 0"), label, "class", "copies", total).select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return looked_up(rows.filter("n_shingles > 0").drop("sketch"), label, "class", "copies", total).select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 ORACLE_SQL = r"""

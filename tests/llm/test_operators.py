@@ -9,6 +9,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -297,6 +298,54 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, hundredths, block):
     assert got == plain_components(texts, hundredths)
 
 
+def five_word_groups(texts):
+    """By id, the least id that links of five-word sets (0.8 or more in common) reach, by comparing all pairs."""
+    sets = {}
+    for k, t in texts.items():
+        w = t.lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    least = {k: k for k in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                old, new = sorted((least[a], least[b]), reverse=True)
+                least = {k: new if r == old else r for k, r in least.items()}
+    return least
+
+
+def near_texts():
+    """Near copies on both sides of the border, chains of them, and a passage that half of the texts have."""
+    rng = random.Random(5)
+    words, passage = [f"w{k}" for k in range(400)], " ".join(f"p{k}" for k in range(40))
+    texts = {}
+    for size in (3, 6, 9, 15, 30, 60, 130, 300):
+        for _ in range(5):
+            t = rng.choices(words, k=size)
+            for step in range(6):
+                t = list(t)
+                for _ in range(rng.randint(0, max(1, size // 40))):
+                    t[rng.randrange(len(t))] = rng.choice(words)
+                texts[len(texts)] = " ".join(t) + (" " + passage if step % 2 and size < 60 else "")
+    return texts
+
+
+def test_near_stage_is_five_words_and_four_fifths(spark):
+    texts = near_texts()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = five_word_groups(texts)
+    assert 5 < len(set(want.values())) < len(texts) - 5
+    assert sorted(r["doc_id"] for r in rows(corpus_pipeline.near(spark, df, ""))) == sorted(k for k, r in want.items() if k == r)
+
+
+@pytest.mark.parametrize("common", [0, 200_000])
+def test_prefixes_against_all_pairs(spark, monkeypatch, common):
+    monkeypatch.setattr(jaccard_join, "COMMON", common)
+    texts = near_texts()
+    df = spark.createDataFrame([*texts.items(), (1000, ""), (1001, None)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in rows(jaccard_join.jaccard_components(df, shingle=5, hundredths=80, prefixes=True))}
+    assert got == five_word_groups(texts) | {1000: 1000, 1001: 1001}
+
+
 def test_jaccard_on_hard_rows(table, empty):
     assert len(rows(jaccard_join.jaccard_components(table))) == len(HARD) + 2 and not rows(jaccard_join.jaccard_components(empty))
 
