@@ -56,7 +56,8 @@ def spectral_indices(spark: SparkSession, d: str) -> DataFrame:
 
 @query(COMP + " SELECT cell_id, round(2.5 * (nir - red) / nullif(nir + 6 * red - 7.5 * blue + 1, 0), 4) AS evi FROM c WHERE abs(nir + 6 * red - 7.5 * blue + 1) > 0.05")
 def evi(spark: SparkSession, d: str) -> DataFrame:
-    c = _mean_bands(spark, d).filter(F.abs(F.col("nir") + 6 * F.col("red") - 7.5 * F.col("blue") + 1) > 0.05)
+    """Every cell; null only where the denominator is zero. The SQL leaves out the cells within 0.05 of that."""
+    c = _mean_bands(spark, d)
     return rounded(c.select("cell_id", B.indices(*(F.col(b) for b in ("blue", "green", "red", "nir", "swir1", "swir2")))["evi"].alias("evi")), 4)
 
 
