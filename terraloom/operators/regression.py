@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .spatial import within
+from .spatial import knn
 
 
 def gram(df: DataFrame, y: str, xs: list[str]) -> tuple[np.ndarray, int]:
@@ -45,14 +45,12 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
 
 
 def gwr(points: DataFrame, y: str, xs: list[str], k: int, radius: float) -> DataFrame:
-    """Local fits by bisquare weights of the k nearest points (the k-th is at the bandwidth), within a radius that holds them.
+    """Local fits by bisquare weights of the k nearest points (the k-th is at the bandwidth), searched from a radius on.
 
     points(id, x, y, ...). Each point's neighbourhood, k rows, is one small group; returns coefficients, local R2, fitted.
     """
     ship_package(points.sparkSession)
-    from pyspark.sql import Window
-
-    e = within(points, points, radius).withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k + 1)
+    e = knn(points, k + 1, radius, itself=True)
     d = e.join(points.select(F.col("id").alias("j"), F.col(y).alias("__y"), *(F.col(x).alias(f"__x{n}") for n, x in enumerate(xs))), "j")
     m = len(xs)
 

@@ -28,10 +28,32 @@ def neighbours(points: DataFrame, radius: float) -> DataFrame:
     return e.join(n, "i").withColumn("w", 1.0 / F.col("__n")).drop("__n")
 
 
-def knn(points: DataFrame, k: int, radius: float, targets: DataFrame | None = None) -> DataFrame:
-    """The k nearest other points of each, nearest first (ties by id), found within a radius that the caller knows to hold k."""
-    e = within(points, points if targets is None else targets, radius)
-    e = e.filter("i <> j") if targets is None else e
+def _reaching(a: DataFrame, b: DataFrame, k: int, radius: float, itself: bool = True) -> DataFrame:
+    """Pairs (i, j, d) that hold the k nearest of b to each of a (all of b if fewer): the radius doubles for points that lack some."""
+    x, y = (F.when(F.abs(c) < float("inf"), F.col(c)) for c in ("x", "y"))
+    ends = a.select("x", "y").unionByName(b.select("x", "y")).agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
+    most = sum(e or 0.0 for e in ends)  # no two points are farther apart
+    left, out = a.select("id", "x", "y"), None
+    while True:
+        e = within(left, b, radius)
+        e = e if itself else e.filter("i <> j")
+        if not radius < most:
+            return e if out is None else out.unionByName(e)
+        full = e.groupBy("i").agg(F.count("*").alias("__n")).filter(F.col("__n") >= k).select("i")
+        done = e.join(full, "i", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        left = left.join(full, left["id"] == full["i"], "left_anti").localCheckpoint()
+        if left.isEmpty():
+            return out
+        radius *= 2
+
+
+def knn(points: DataFrame, k: int, radius: float, targets: DataFrame | None = None, itself: bool = False) -> DataFrame:
+    """The k nearest other points of each, nearest first (ties by id); `targets` are searched instead, `itself` counts the point.
+
+    The search begins within `radius` and goes on, doubling it, for points that have not found k.
+    """
+    e = _reaching(points, points if targets is None else targets, k, radius, itself or targets is not None)
     w = Window.partitionBy("i").orderBy("d", "j")
     return e.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -86,8 +108,8 @@ def density(points: DataFrame, factor: float, size: int) -> DataFrame:
 
 
 def nearest_distance(points: DataFrame, features: DataFrame, radius: float) -> DataFrame:
-    """Distance to the nearest feature within a radius, null beyond; to oneself it is zero."""
-    d = within(points, features, radius).groupBy("i").agg(F.min("d").alias("distance"))
+    """Distance to the nearest feature, null if there are none; to oneself it is zero. The search begins within `radius`."""
+    d = _reaching(points, features, 1, radius).groupBy("i").agg(F.min("d").alias("distance"))
     return points.select("id").join(d, F.col("id") == F.col("i"), "left").select("id", "distance")
 
 
