@@ -60,27 +60,40 @@ def disturbances(df: DataFrame, cell: str, year: str, value: str, least: float =
     return d.groupBy("cell").applyInPandas(run, f"cell {kind}, magnitude double, at int, span double").filter(F.col("span") >= least)
 
 
-def simulate(cells: DataFrame, targets: dict[int, int], suitability: str, cls: str = "class_id", weight: float = 0.3, radius: int = 2) -> DataFrame:
-    """One synchronous step of a cellular automaton on (row, col, class, suitability).
+def simulate(cells: DataFrame, targets: dict[int, int], suitability: str, cls: str = "class_id", weight: float = 0.3, radius: int = 2, chance: dict[tuple[int, int], float] | None = None) -> DataFrame:
+    """A cellular automaton on (row, col, class, suitability) that moves the classes to their targets.
 
-    A class below its target takes the cells of classes above theirs with the best mix of suitability and neighbourhood.
-    Every cell bids once, for the class that lacks most cells; bids are ranked by bucketed score, ties by place.
+    In each round every cell of a class above its target bids for the class below its target where its score is best: the mix
+    of suitability and neighbourhood, times the chance of that transition (1 if not given; under 0.001 it is ruled out). A
+    class takes the best bids for it up to what it lacks, and gives the best up to its excess; ties by place. Rounds end when
+    no bid is left; each fills a class or empties an excess, or takes all bids, so there are few. A cell moves once.
     """
     from .focal import _sent
 
-    now = {r[0]: r[1] for r in cells.groupBy(cls).count().collect()}  # a row a class
-    lacks = {k: n - now.get(k, 0) for k, n in targets.items()}
-    grow = [k for k, n in sorted(lacks.items(), key=lambda x: (-x[1], x[0])) if n > 0]
-    spare = {k: -n for k, n in lacks.items() if n < 0}
-    out = cells
-    if not grow or not spare:
-        return out.withColumn("simulated", F.col(cls))
-    want, k = min(lacks[grow[0]], sum(spare.values())), grow[0]
-    s = _sent(cells.withColumn("__is", (F.col(cls) == k).cast("double")), radius, "__is")
-    near = s.groupBy("row", "col").agg((F.sum("v") / float((2 * radius + 1) ** 2)).alias("__near"))
-    out = out.join(near, ["row", "col"]).withColumn("__score", (1 - weight) * F.col(suitability) + weight * F.col("__near"))
-    bids = out.filter(F.col(cls).isin(*spare)).withColumn("__b", F.floor(F.col("__score") * 4096))
-    counts = bids.groupBy("__b").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 4097 rows at most
-    placed = bids.join(counts, "__b").withColumn("__r", F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy(F.desc("__score"), "row", "col")))
-    won = placed.filter(F.col("__r") <= want).select("row", "col", F.lit(k).alias("simulated"))
-    return out.join(won, ["row", "col"], "left").withColumn("simulated", F.coalesce("simulated", cls)).drop("__near", "__score")
+    def placed(bids: DataFrame, group: str, quota: dict[int, int]) -> DataFrame:
+        b = bids.withColumn("__b", F.floor(F.col("__score") * 4096))
+        counts = b.groupBy(group, "__b").agg(F.count("*").alias("__n"))  # 4097 rows a class at most
+        counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        r = F.col("__before") + F.row_number().over(Window.partitionBy(group, "__b").orderBy(F.desc("__score"), "row", "col"))
+        most = F.create_map(*(F.lit(x) for kv in quota.items() for x in kv))
+        return b.join(counts, [group, "__b"]).withColumn("__r", r).filter(F.col("__r") <= most[F.col(group)]).select(*bids.columns)
+
+    now = cells.select("row", "col", F.col(cls).alias("__was"), F.col(cls).alias("__now"), F.col(suitability).alias("__s"))
+    while True:
+        have = {r[0]: r[1] for r in now.groupBy("__now").count().collect()}  # a row a class
+        lacks = {k: n - have.get(k, 0) for k, n in targets.items()}
+        grow, spare = {k: n for k, n in lacks.items() if n > 0}, {k: -n for k, n in lacks.items() if n < 0}
+        ways = [(a, k, 1.0 if chance is None else float(chance.get((a, k), 0.0))) for a in sorted(spare) for k in sorted(grow)]
+        ways = [w for w in ways if w[2] >= 0.001]
+        if not ways:
+            break
+        ways = cells.sparkSession.createDataFrame(ways, f"__now {dict(cells.dtypes)[cls]}, __to {dict(cells.dtypes)[cls]}, __p double")
+        near = _sent(now, radius, "__now").filter(F.col("v").isin(*grow)).groupBy("row", "col", F.col("v").alias("__to")).agg((F.count("*") / float((2 * radius + 1) ** 2)).alias("__near"))
+        bids = now.filter("__now = __was").join(F.broadcast(ways), "__now").join(near, ["row", "col", "__to"], "left")
+        bids = bids.withColumn("__score", F.col("__p") * ((1 - weight) * F.col("__s") + weight * F.coalesce("__near", F.lit(0.0))))
+        best = bids.groupBy("row", "col", "__now").agg(F.max(F.struct("__score", (-F.col("__to")).alias("__less"))).alias("__m")).select("row", "col", "__now", F.col("__m")["__score"].alias("__score"), (-F.col("__m")["__less"]).alias("__to"))
+        won = placed(placed(best, "__to", grow), "__now", spare).select("row", "col", "__to").localCheckpoint()
+        if won.isEmpty():
+            break
+        now = now.join(won, ["row", "col"], "left").withColumn("__now", F.coalesce("__to", "__now")).drop("__to").localCheckpoint()
+    return cells.join(now.select("row", "col", F.col("__now").alias("simulated")), ["row", "col"])

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import bands as B
 from ..functions import bibliography as bib
 from ..functions.dims import CARBON
-from ..operators import focal, learning, quality, regression, sampling, spatial, zonal
+from ..operators import focal, learning, markov, quality, regression, sampling, spatial, zonal
 from ..sources import documents as src
 from ..streaming import series as stream
+from . import land_change
 from .common import query, rounded, table
 
 RADIUS = 0.12
@@ -231,9 +232,14 @@ def disturbance(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ca_simulate(spark: SparkSession, d: str) -> DataFrame:
     g = _grid(spark, d).withColumn("s", F.col("height") / 50)
-    now = {r[0]: r[1] for r in g.groupBy("class_id").count().collect()}
-    targets = {k: n + (40 if k == min(now) else -10) for k, n in now.items()}
-    return learning.simulate(g, targets, "s").select("row", "col", "class_id", "simulated")
+    chance = {(r["c_from"], r["c_to"]): r["prob"] for r in land_change._prob(spark, d).collect()}  # a row for each two classes
+    areas = g.groupBy("class_id").agg(F.count("*").cast("double").alias("area"))
+    matrix = spark.createDataFrame([(a, b, p) for (a, b), p in chance.items()], "c_from int, c_to int, prob double")
+    to = {r["class_id"]: r["area"] for r in markov.project(areas, matrix).collect()}
+    targets = {k: int(n) for k, n in to.items()}
+    for k in sorted(to, key=lambda k: (targets[k] - to[k], k))[: round(sum(to.values())) - sum(targets.values())]:
+        targets[k] += 1  # whole cells, as many as there are
+    return learning.simulate(g, targets, "s", chance=chance).select("row", "col", "class_id", "simulated")
 
 
 def _events(spark, d):

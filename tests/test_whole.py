@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 
-from terraloom.operators import regression
+from terraloom.operators import learning, regression
 from terraloom.plans import registry
 
 D = "/root/testdata/sf0.001"
@@ -56,3 +56,17 @@ def test_gwr_has_eleven_neighbours(spark):
     far = spark.createDataFrame([(k, float(k * k * k), 0.0, 2.0 * k + 1, float(k)) for k in range(20)], "id long, x double, y double, v double, u double")
     got = {r["id"]: r for r in regression.gwr(far, "v", ["u"], 11, 0.5).collect()}
     assert len(got) == 20 and all(abs(r["b1"] - 2) < 1e-6 and abs(r["fitted"] - 2 * k - 1) < 1e-6 for k, r in got.items())
+
+
+def test_simulation_fills_all_growing_classes(spark):
+    rng = np.random.default_rng(3)
+    grid = [(r, c, int(rng.integers(1, 5)), float(rng.random())) for r in range(20) for c in range(20)]
+    have = {k: sum(g[2] == k for g in grid) for k in range(1, 5)}
+    targets = {1: have[1] + 17, 2: have[2] + 9, 3: have[3] - 24, 4: have[4] - 2}
+    cells = spark.createDataFrame(grid, "row int, col int, class_id int, s double").repartition(3)
+    got = learning.simulate(cells, targets, "s").collect()
+    assert len(got) == 400 and {k: sum(r["simulated"] == k for r in got) for k in targets} == targets
+    moved = {(r["class_id"], r["simulated"]) for r in got if r["class_id"] != r["simulated"]}
+    assert moved <= {(3, 1), (3, 2), (4, 1), (4, 2)}
+    got = learning.simulate(cells, targets, "s", chance={(3, 1): 0.4, (4, 2): 0.3}).collect()
+    assert {k: sum(r["simulated"] == k for r in got) for k in targets} == {1: have[1] + 17, 2: have[2] + 2, 3: have[3] - 17, 4: have[4] - 2}
