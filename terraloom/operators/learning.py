@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import kept, ship_package
 
 
 def random_forest(train: DataFrame, rows: DataFrame, label: str, features: list[str], trees: int = 50, leaf: int = 5, share: float = 0.632, seed: int = 42) -> tuple[DataFrame, list[tuple[str, float]]]:
@@ -92,8 +92,8 @@ def simulate(cells: DataFrame, targets: dict[int, int], suitability: str, cls: s
         bids = now.filter("__now = __was").join(F.broadcast(ways), "__now").join(near, ["row", "col", "__to"], "left")
         bids = bids.withColumn("__score", F.col("__p") * ((1 - weight) * F.col("__s") + weight * F.coalesce("__near", F.lit(0.0))))
         best = bids.groupBy("row", "col", "__now").agg(F.max(F.struct("__score", (-F.col("__to")).alias("__less"))).alias("__m")).select("row", "col", "__now", F.col("__m")["__score"].alias("__score"), (-F.col("__m")["__less"]).alias("__to"))
-        won = placed(placed(best, "__to", grow), "__now", spare).select("row", "col", "__to").localCheckpoint()
+        won = kept(placed(placed(best, "__to", grow), "__now", spare).select("row", "col", "__to"), "simulate-won")
         if won.isEmpty():
             break
-        now = now.join(won, ["row", "col"], "left").withColumn("__now", F.coalesce("__to", "__now")).drop("__to").localCheckpoint()
+        now = kept(now.join(won, ["row", "col"], "left").withColumn("__now", F.coalesce("__to", "__now")).drop("__to"), "simulated")
     return cells.join(now.select("row", "col", F.col("__now").alias("simulated")), ["row", "col"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def _squares(df: DataFrame, side: float, reach: int) -> DataFrame:
     """A row for each square of a grid within `reach` squares of the point."""
@@ -42,7 +44,7 @@ def _reaching(a: DataFrame, b: DataFrame, k: int, radius: float, itself: bool =
         full = e.groupBy("i").agg(F.count("*").alias("__n")).filter(F.col("__n") >= k).select("i")
         done = e.join(full, "i", "left_semi")
         out = done if out is None else out.unionByName(done)
-        left = left.join(full, left["id"] == full["i"], "left_anti").localCheckpoint()
+        left = kept(left.join(full, left["id"] == full["i"], "left_anti"), "short-of-neighbours")
         if left.isEmpty():
             return out
         radius *= 2
