@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,10 @@ from ..session import ship_package
 
 #: Rows of a text table that a Python worker gets at once. Texts average a few KB, so a batch is a few MB.
 BATCH_ROWS = 512
+#: Bytes at which a batch ends even if it has fewer rows; a single longer text is a batch of its own.
+BATCH_BYTES = 32 << 20
+#: Folders written since the last `tidied` began.
+_written: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of the shared folder."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def tidied(spark: SparkSession):
+    """Deletes what operators wrote to the shared folder while it was open; their results must have been used up by then."""
+    before = len(_written)
+    yield
+    dropped(spark, *_written[before:])
+    del _written[before:]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +69,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds what a Python worker holds of a table with long texts. The package is sent to the workers, too."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
@@ -54,19 +77,6 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def batch_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow of a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                out = fn(b)
-                if out is not None:
-                    yield out
-
-    return df.mapInArrow(run, schema)
-
-
 def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id (as long) and the text: columns of the input with any other name can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -76,15 +86,21 @@ def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 HOT_SHARE = 0.001
 
 
-def looked_up(rows: DataFrame, groups: DataFrame, on: str, size_col: str, total: int) -> DataFrame:
-    """rows with the columns of groups, whose keys are unique; total: rows in all groups.
+def numbered(df: DataFrame, name: str, column: str = "__row") -> DataFrame:
+    """df with a number for each row, written to the shared folder so that the numbers stay with their rows."""
+    return stored(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def looked_up(rows: DataFrame, groups: DataFrame, on: str | Sequence[str], size_col: str, total: int) -> DataFrame:
+    """rows with the columns of groups, whose keys are unique; rows without a group are left out. total: rows in all groups.
 
     Hot groups, at most 1 / HOT_SHARE by their sizes, are broadcast; the others, none of them large, are joined by key.
     """
+    keys = [on] if isinstance(on, str) else list(on)
     hot = F.col(size_col) > max(1.0, total * HOT_SHARE)
-    others = [c for c in groups.columns if c != on]
-    marked = rows.join(F.broadcast(groups.filter(hot).withColumnsRenamed({c: f"__{c}" for c in others})), on, "left")
+    others = [c for c in groups.columns if c not in keys]
+    marked = rows.join(F.broadcast(groups.filter(hot).withColumnsRenamed({c: f"__{c}" for c in others})), keys, "left")
     is_hot = F.col(f"__{size_col}").isNotNull()
     found = marked.filter(is_hot).select(*rows.columns, *(F.col(f"__{c}").alias(c) for c in others))
-    rest = marked.filter(~is_hot).select(*rows.columns).join(groups.filter(~hot), on).select(*rows.columns, *others)
+    rest = marked.filter(~is_hot).select(*rows.columns).join(groups.filter(~hot), keys).select(*rows.columns, *others)
     return found.unionByName(rest)

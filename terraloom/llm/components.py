@@ -17,6 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     nodes; each is written to the shared folder. Nothing is collected but counts.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import NOT_SPACE, U, Words, mix, pieces_of
@@ -19,8 +19,10 @@ from .components import components
 SHINGLE, HUNDREDTHS = 3, 90
 #: Growth of the size bands.
 BAND = 1.15
-#: Sets of a cluster that one task compares with each other; larger clusters are compared block by block.
-BLOCK = 3000
+#: Classes of one signature that a task compares with each other by sketches; more are compared block by block.
+BLOCK = 1024
+#: Rounds in which each class meets one other of its signature before all that aren't joined meet.
+ROUNDS = 2
 #: Weight of an expected false candidate against a signature, in the cost of an allocation.
 CANDIDATE_COST = 4.0
 #: Rows drawn to find common shingles, and the most common shingles that workers are told.
@@ -35,7 +37,7 @@ def sets_of(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
     for k in range(n):
         shifted = np.zeros(count, U)
         shifted[: count - k] = w.hash[k:] if k < count else 0
-        total += mix(shifted + _ODD[k % 3] * U(k + 1)) * _ODD[(k + 1) % 3]
+        total += mix(shifted + _ODD[k % 3] * np.array([k + 1], U)) * _ODD[(k + 1) % 3]
     shingles = mix(total)
     for a, b in zip(w.first[:-1], w.first[1:], strict=True):
         if b - a >= n:
@@ -46,9 +48,11 @@ def sets_of(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
-def class_of(s: np.ndarray) -> int:
-    """A signed 64-bit id of a set."""
-    return int((mix(s ^ _ODD[0]).sum(dtype=U) ^ mix(np.array([len(s)], U))[0]).astype(np.int64))
+def class_of(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set, as two signed numbers; the first names it among candidates, both decide."""
+    size = mix(np.array([len(s)], U))
+    both = mix(s ^ _ODD[0]).sum(dtype=U, keepdims=True) ^ size, mix(mix(s ^ _ODD[2]) + _ODD[1]).sum(dtype=U, keepdims=True) + size
+    return tuple(int(x.view(np.int64)[0]) for x in both)
 
 
 def differences(total: int, hundredths: int) -> int:
@@ -169,7 +173,7 @@ def _common(texts: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarra
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
 
-    drawn = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // SAMPLE))) == 0)
+    drawn = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, total // SAMPLE))) == 0)
     found = stored(drawn.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-common")
     least, kept = 2, 0
     for often, shingles in sorted(found.groupBy("n").count().collect(), reverse=True):
@@ -189,13 +193,20 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
         yield b, [s for i, j in pieces_of(every) for s in sets_of(every[i:j], n)]
 
 
-def _classes(texts: DataFrame, n: int, sketched: bool) -> DataFrame:
+def _classes(texts: DataFrame, n: int) -> DataFrame:
+    """texts(doc_id, text and more) as doc_id, n_shingles, the set's 128 bits, a hash of the text, its sketch, and the rest."""
+    rest = [c for c in texts.columns if c not in ("doc_id", "text")]
+    kinds = dict(texts.dtypes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _rows(batches, n):
-            out = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class"])
-            yield out.append_column("sketch", pa.array([sketches([s], 1 << (len(s) // 64).bit_length()).tobytes() for s in sets], pa.binary())) if sketched else out
+            ids = [class_of(s) for s in sets]
+            cols = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([i[k] for i in ids], pa.int64()) for k in (0, 1))]
+            cols += [b.column("said"), pa.array([sketches([s], 1 << (len(s) // 64).bit_length()).tobytes() for s in sets], pa.binary()), *(b.column(c) for c in rest)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "class", "check", "said", "sketch", *rest])
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, class long" + ", sketch binary" * sketched)
+    said = texts.withColumn("said", F.xxhash64("text"))
+    return said.mapInArrow(run, "doc_id long, n_shingles long, class long, check long, said long, sketch binary" + "".join(f", {c} {kinds[c]}" for c in rest))
 
 
 def _signatures(texts: DataFrame, n: int, signs: Signatures | Prefixes) -> DataFrame:
@@ -204,7 +215,7 @@ def _signatures(texts: DataFrame, n: int, signs: Signatures | Prefixes) -> DataF
         for _, sets in _rows(batches, n):
             sigs, owners = [], []
             for s in sets:
-                c = class_of(s)
+                c = class_of(s)[0]
                 if c not in seen:
                     seen.add(c)
                     sigs.append(signs(s))
@@ -215,26 +226,6 @@ def _signatures(texts: DataFrame, n: int, signs: Signatures | Prefixes) -> DataF
     return texts.mapInArrow(run, "sig long, class long")
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig: links each class to the first of its signature. Holds one row from batch to batch."""
-    sig = first = None
-    for b in batches:
-        s, c = b.column("sig").to_numpy(), b.column("class").to_numpy()
-        if not len(s):
-            continue
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        new[0] = sig is None or s[0] != sig
-        head = np.where(new, np.arange(len(s)), -1)
-        np.maximum.accumulate(head, out=head)
-        hub = np.where(head >= 0, c[head], first if first is not None else 0)
-        sig, first = s[-1], hub[-1]
-        k = hub != c
-        if k.any():
-            pairs = np.unique(np.stack([c[k], hub[k]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
 def sketches(sets: list[np.ndarray], words: int) -> np.ndarray:
     """Parities of the elements that fall on each of 64 * words bits. Two sets differ in no fewer elements than bits."""
     out = np.zeros((len(sets), words), U)
@@ -244,37 +235,6 @@ def sketches(sets: list[np.ndarray], words: int) -> np.ndarray:
     return out
 
 
-def linked_pairs(ids: list[int], sets: list[np.ndarray], hundredths: int, apart: int = 0) -> list[tuple[int, int]]:
-    """Links that connect what is connected by links, verified exactly; with `apart`, only of the first `apart` with the rest.
-
-    Sets are sorted by size, so that a set meets only those whose size allows a link; sketches drop most of the rest.
-    """
-    order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
-    size = np.array([len(sets[k]) for k in order])
-    group = np.array([k < apart for k in order])
-    sketch = sketches([sets[k] for k in order], 1 << max(3, int(size[-1] // 32).bit_length())) if len(order) else None
-    root = np.arange(len(order))
-    out = []
-    for i in range(len(order)):
-        hi = int(np.searchsorted(size, size[i] * 100 // hundredths, "right"))
-        others = np.arange(i + 1, hi)
-        others = others[root[others] != root[i]]
-        if apart:
-            others = others[group[others] != group[i]]
-        if not len(others):
-            continue
-        most = (size[others] + size[i]) * (100 - hundredths) // (100 + hundredths)
-        others = others[np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64) <= most]
-        for j in others:
-            if root[j] != root[i]:
-                a, b = sets[order[i]], sets[order[j]]
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                if links(common, len(a) + len(b), hundredths):
-                    out.append((ids[order[i]], ids[order[j]]))
-                    root[root == root[j]] = root[i]
-    return out
-
-
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Bits in which sketches, row by row, differ; the longer are folded to the length of the others."""
     while x.shape[1] != y.shape[1]:
@@ -285,7 +245,7 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, hundredths: int) -> DataFrame:
-    """The pairs (a, b) of classes that are links: sketches drop most of the others, the sets decide."""
+    """The pairs (a, b) of classes' ids that are links: sketches drop most of the others, the sets decide."""
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,89 +263,157 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
         for batch in batches:
             both, keep = (texts_of(batch, "ta"), texts_of(batch, "tb")), []
             sets = [[s for i, j in pieces_of(t) for s in sets_of(t[i:j], shingle)] for t in both]
-            for x, y, a, b in zip(*sets, batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                same = class_of(x) == a and class_of(y) == b  # a repeated id may bring another text
+            for x, y, a, b in zip(*sets, *(zip(batch.column(f"c{k}").to_pylist(), batch.column(f"d{k}").to_pylist(), strict=True) for k in "ab"), strict=True):
+                same = class_of(x) == a and class_of(y) == b  # two texts may have one hash
                 keep.append(same and links(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y), hundredths))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (classes.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    left, right = (classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
     near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(sift, "a long, b long"), "jaccard-near")
-    used = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    found = stored(texts.join(classes.join(used, "class").select("class", F.col("first_doc").alias("doc_id")), "doc_id").select("class", "text"), "jaccard-texts")
-    left, right = (found.select(F.col("class").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    return stored(near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(decide, "a long, b long"), "jaccard-links")
+    if near.isEmpty():
+        return near
+    used = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    used = classes.join(used, "id").select("id", "class", "check", F.col("said").alias("__said"), F.col("first").alias("__first"))
+    found = texts.withColumn("__own", F.xxhash64("text")).join(used, F.expr("__own = __said AND doc_id <=> __first"))
+    found = stored(found.select("id", "class", "check", "text").distinct(), "jaccard-texts")
+    left, right = (found.select(F.col("id").alias(k), F.col("class").alias(f"c{k}"), F.col("check").alias(f"d{k}"), F.col("text").alias(f"t{k}")) for k in "ab")
+    return stored(near.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "da", "db", "ta", "tb").mapInArrow(decide, "a long, b long"), "jaccard-links")
+
+
+def _close(n: np.ndarray, root: np.ndarray, ids: np.ndarray, side: np.ndarray, sketch: list[bytes], hundredths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block that sizes and sketches allow and that no link joins yet; side: 0 meets 1, and 2 meets itself."""
+    words = np.array([len(s) for s in sketch]) // 8
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for w in np.unique(words):
+        one = np.flatnonzero(words == w)
+        x = np.frombuffer(b"".join(sketch[k] for k in one), U).reshape(len(one), w)
+        for v in (w, 2 * w):
+            two = one if v == w else np.flatnonzero(words == v)
+            if not len(two):
+                continue
+            y = x
+            if v != w:
+                y = np.frombuffer(b"".join(sketch[k] for k in two), U).reshape(len(two), v)
+                y = y[:, :w] ^ y[:, w:]
+            step = max(1, (1 << 20) // (len(two) * int(w)))
+            for at in range(0, len(one), step):
+                mine = one[at : at + step]
+                low, high = np.minimum(n[mine][:, None], n[two]), np.maximum(n[mine][:, None], n[two])
+                may = (100 * low >= hundredths * high) & (root[mine][:, None] != root[two]) & ((side[mine][:, None] != side[two]) | (side[two] == 2))
+                if v == w:
+                    may &= ids[mine][:, None] < ids[two]
+                i, j = np.nonzero(may)
+                if len(i):
+                    near = np.bitwise_count(x[at + i] ^ y[j]).sum(1, dtype=np.int64) <= (n[mine[i]] + n[two[j]]) * (100 - hundredths) // (100 + hundredths)
+                    out.append((ids[mine[i[near]]], ids[two[j[near]]]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def _met(rest: DataFrame, classes: DataFrame, hundredths: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a signature, aren't joined, and that sizes and sketches allow.
+
+    rest(sig, id, n, root, met). A signature's classes meet in blocks of BLOCK, each pair of blocks in a task of its own, so
+    a hot signature spreads; a block holds numbers and sketches, not texts, and gives only what the sketches allow.
+    """
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = rest.withColumn("blocks", F.ceil(F.col("met") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") < F.col("other")).cast("int"))
+    rest = rest.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "n", "root", side.alias("side"))
+    rest = rest.join(classes.select("id", "sketch"), "id").repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
 
+        def pairs(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+            n, root, ids, side = (t.column(c).to_numpy() for c in ("n", "root", "id", "side"))
+            sketch = t.column("sketch").to_pylist()
+            got = [_close(n[i:j], root[i:j], ids[i:j], side[i:j], sketch[i:j], hundredths) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
+            both = np.unique(np.stack([np.concatenate([g[k] for g in got] or [np.zeros(0, np.int64)]) for k in (0, 1)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-def _linked_by_prefixes(signed: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, hundredths: int) -> DataFrame:
-    """Links that connect what is connected by links, of classes with a common signature, pair by pair.
+        def starts(t: pa.Table) -> np.ndarray:
+            new = np.ones(t.num_rows, bool)
+            new[1:] = np.logical_or.reduce([(x := t.column(c).to_numpy())[1:] != x[:-1] for c in ("sig", "low", "high")])
+            return np.flatnonzero(new)
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            cuts = starts(held)
+            if len(cuts) > 1:
+                yield pairs(held, cuts)
+                held = held.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield pairs(held, np.append(starts(held), held.num_rows))
 
-    First each class meets one of those of its signature, another for each signature; what that joins needs no more
-    comparison. Then all pairs that share a signature and are not joined yet meet.
+    return rest.mapInArrow(run, "a long, b long").distinct()
+
+
+def linked(signed: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, hundredths: int) -> DataFrame:
+    """Components (node, root) of the links between classes' ids; candidates are verified pair by pair.
+
+    classes(id, class, check, n, sketch, said, first); signed(sig, class). In each of ROUNDS, a class meets one of those of
+    its signature, another for each signature and round, that is not joined to it yet: as many pairs as signatures. After
+    that, all pairs that share a signature and are not joined yet meet in blocks.
     """
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    same = Window.partitionBy("sig")
-    hub = F.min(F.struct(F.xxhash64("class", "sig"), "class")).over(same)["class"]
-    shared = signed.repartition(n, "sig").withColumn("hub", hub).withColumn("met", F.count("*").over(same)).filter("met > 1").select("sig", "class", "hub")
-    shared = stored(shared.join(classes.select("class", "n"), "class").distinct(), "jaccard-shared")
-    hubs = classes.select(F.col("class").alias("hub"), F.col("n").alias("hub_n"))
-    alike = lambda x, y: 100 * F.least(x, y) >= hundredths * F.greatest(x, y)
-    stars = shared.filter("class <> hub").join(hubs, "hub").filter(alike("n", "hub_n")).select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
-    first = verified(stars, classes, texts, shingle, hundredths)
-    roots = components(first).select(F.col("node").alias("class"), "root")
-    rest = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rest = rest.withColumn("some", F.min("root").over(same)).withColumn("other", F.max("root").over(same)).filter("some <> other")
-    x, y = (rest.select("sig", F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
-    pairs = x.join(y, "sig").filter(F.expr("a > b AND ra <> rb") & alike("na", "nb")).select("a", "b").distinct()
-    second = verified(pairs.join(stars, ["a", "b"], "left_anti"), classes, texts, shingle, hundredths)
-    return first.unionByName(second)
-
-
-def _linked_by_clusters(signed: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, hundredths: int) -> DataFrame:
-    """Links that connect what is connected by links, of classes that common signatures connect, cluster by cluster."""
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stars = signed.repartition(n, "sig").sortWithinPartitions("sig", "class").mapInArrow(_stars, "a long, b long").distinct()
-    clusters = components(stars)
-    clusters = stored(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("class"), F.col("root").alias("cluster")).distinct()), "jaccard-clusters")
-    sized = clusters.groupBy("cluster").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    members = clusters.join(sized, "cluster").join(classes, "class").select("class", "cluster", "blocks", F.pmod("class", "blocks").alias("block"), "first_doc")
-    found = texts.join(members, texts["doc_id"] == members["first_doc"])
-    one = F.col("block")
-    pairs = found.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.select("class", "cluster", "text", F.least(one, "other").alias("low"), F.greatest(one, "other").alias("high"), one.alias("block"))
-
-    def verify(table: pa.Table) -> pa.Table:
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        by_class = {c: (k, t) for c, k, t in zip(table.column("class").to_pylist(), table.column("block").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True)}
-        ids = sorted(by_class, key=lambda c: (by_class[c][0], c))
-        sets = [s for i, j in pieces_of([by_class[c][1] or b"" for c in ids]) for s in sets_of([by_class[c][1] or b"" for c in ids[i:j]], shingle)]
-        got = linked_pairs(ids, sets, hundredths, sum(by_class[c][0] == low for c in ids) if low != high else 0)
-        return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
-    return stored(pairs.groupBy("cluster", "low", "high").applyInArrow(verify, "a long, b long"), "jaccard-links")
-
-
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hundredths: int = HUNDREDTHS, prefixes: bool = False) -> DataFrame:
+    signed = stored(signed, "jaccard-signed")
+    mixed = F.col("class").bitwiseXOR(F.xxhash64("sig"))
+    groups = signed.groupBy("sig").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high"), F.count("*").alias("met")).filter("low <> high").select("sig", "met")
+    shared = looked_up(signed, groups, "sig", "met", signed.count())
+    rest = stored(shared.join(classes.select("class", "id", "n"), "class").select("sig", "id", "n", F.col("id").alias("root"), "met").distinct(), "jaccard-shared")
+    found = seen = rest.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    roots = components(found)
+    for turn in range(ROUNDS):
+        key = F.col("id").bitwiseXOR(F.xxhash64("sig", F.lit(turn)))
+        hubs = rest.groupBy("sig", "met").agg(F.min(key).alias("low")).select("sig", F.col("low").bitwiseXOR(F.xxhash64("sig", F.lit(turn))).alias("hub"), "met")
+        ways = looked_up(rest.drop("met"), hubs, "sig", "met", rest.count()).filter("id <> hub").select("id", "n", "root", "hub").distinct()
+        own = rest.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root")).distinct()
+        alike = 100 * F.least("n", "hub_n") >= hundredths * F.greatest("n", "hub_n")
+        pairs = ways.join(own, "hub").filter(alike & (F.col("root") != F.col("hub_root"))).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+        pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
+        new = verified(pairs, classes, texts, shingle, hundredths)
+        if new.isEmpty():
+            break
+        found, seen = found.unionByName(new), seen.unionByName(pairs)
+        roots = components(found)
+        now = rest.select("sig", "id", "n").join(roots.withColumnsRenamed({"node": "id", "root": "__root"}), "id", "left").select("sig", "id", "n", F.coalesce("__root", "id").alias("root"))
+        now = stored(now, "jaccard-roots")
+        groups = now.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met")).filter("low <> high").select("sig", "met")
+        rest = stored(looked_up(now, groups, "sig", "met", now.count()), "jaccard-rest")
+    pairs = stored(_met(rest, classes, hundredths).join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
+    new = verified(pairs, classes, texts, shingle, hundredths)
+    return roots if new.isEmpty() else components(found.unionByName(new))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hundredths: int = HUNDREDTHS, prefixes: bool = False, row_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the least doc_id that links reach.
 
-    Shingles are hashed to 64 bits. Rows with one set are a class, which signs once a task. Hashes are cut into segments by
-    size band; classes with a common signature (a segment's content, or, where the allocation says so, that content less
-    one element) are candidates, linked in stars. A component of candidates contains every component of links in it; its
-    classes' sets meet in one task, or block by block if there are more than BLOCK, and links are verified on the sets.
-    With `prefixes`, a set's signatures are its rarest shingles instead, as Prefixes has it, and pairs are verified one by one,
-    not clusters: for sets that differ in so much that segments would be short.
+    Shingles are hashed to 64 bits, sets to 128. Rows with one set are a class, which signs once a task. Hashes are cut into
+    segments by size band; classes with a common signature (a segment's content, or, where the allocation says so, that
+    content less one element) are candidates, which `linked` verifies pair by pair on the sets. With `prefixes`, a set's
+    signatures are its rarest shingles instead, as Prefixes has it: for sets that differ in so much that segments would be
+    short.
 
-    Null, empty and blank texts have no shingles and are alone. Repeated rows and ids are rows of one component. A null id
-    is never a component's id unless alone. Empty table: no rows. Other columns are not read.
+    Null, empty and blank texts have no shingles and are alone. Repeated rows and ids are rows of one component where their
+    texts are linked. A null id is a component's id only if all its ids are null. Empty table: no rows. Other columns are not
+    read, but for row_col, a number of each row: with it, the rows also have `row` and `root`, which tells components apart
+    even if ids repeat (null: no shingles).
     """
     spark = df.sparkSession
     small_batches(spark)
     texts = keyed_texts(df, id_col, text_col)
-    rows = stored(_classes(texts, shingle, prefixes), "jaccard-rows")
+    keyed = texts if row_col is None else df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(row_col).cast("long").alias("row"))
+    rows = stored(_classes(keyed, shingle), "jaccard-rows")
     total = rows.count()
-    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), *[F.first("sketch").alias("sketch")] * prefixes)
-    classes = stored(classes, "jaccard-classes")
+    classes = rows.filter("n_shingles > 0").groupBy("class", "check").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.min("said").alias("said"), F.min_by("doc_id", "said").alias("first"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
     most = classes.agg(F.max("n")).first()[0] or 0
     every = bands(hundredths, most)
-    label = classes.select("class", "copies", F.col("first_doc").alias("component_id"))
+    label = classes.select("class", "check", "copies", F.col("first_doc").alias("component_id"), F.col("id").alias("root"))
     if every:
         if prefixes:
             signs = Prefixes(hundredths, *_common(texts, shingle, total))
@@ -394,15 +422,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             band = sum((F.col("n") >= lo).cast("int") for lo in lows) - 1
             counts = {r[0]: r[1] for r in classes.groupBy(band.alias("band")).count().collect()}
             signs = Signatures(hundredths, counts, most)
-        signed = _signatures(texts, shingle, signs)
-        linked = (_linked_by_prefixes if prefixes else _linked_by_clusters)(signed, classes, texts, shingle, hundredths)
-        roots = components(linked).select(F.col("node").alias("class"), "root")
-        label = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        roots = linked(_signatures(texts, shingle, signs), classes, texts, shingle, hundredths).withColumnRenamed("node", "id")
+        label = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         least = label.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-        label = label.join(least, "root").select("class", "copies", "component_id")
+        label = label.join(least, "root").select("class", "check", "copies", "component_id", "root")
     label = stored(label, "jaccard-labels")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return looked_up(rows.filter("n_shingles > 0").drop("sketch"), label, "class", "copies", total).select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    extra = [] if row_col is None else ["row", "root"]
+    alone = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long"))
+    some = looked_up(rows.filter("n_shingles > 0").drop("sketch", "said"), label, ["class", "check"], "copies", total)
+    return some.select("doc_id", "n_shingles", "component_id", *extra).unionByName(alone.select("doc_id", "n_shingles", "component_id", *extra))
 
 
 ORACLE_SQL = r"""
