@@ -4,6 +4,9 @@ Texts are cut into matches of the public pattern by array operations on code poi
 in a worker. Matches of like length make a padded matrix of token ids. In each round every row merges its leftmost pair
 of minimum rank, found by hashed pair lookup; rows without a pair leave the matrix (compaction). A text's ids are
 gathered from those of its matches and, since matches are looked up by hash, checked by decoding them.
+
+A match of more than LONG bytes would make a matrix of one row with as many rounds as bytes. It goes through the same
+rounds, a merge of the leftmost pair of minimum rank each, with its pairs in a heap: a round's cost is that of the heap.
 """
 
 from __future__ import annotations
@@ -11,7 +14,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,7 @@ from .common import keyed_texts, small_batches, texts_of
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Upper lengths of the matrices' buckets; longer matches are padded to the next power of two.
 BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32)
+LONG = 256
 NO_RANK = np.int32(2**31 - 1)
 #: Distinct matches that a worker remembers; beyond, it starts anew.
 REMEMBERED = 1_500_000
@@ -82,7 +88,11 @@ def match_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Tokens' bytes, and ranks of the pairs that merge."""
 
-    def __init__(self, tokens: dict[bytes, int], pairs: np.ndarray, ranks: np.ndarray, merged: np.ndarray):
+    def __init__(self, tokens: dict[bytes, int], pairs: np.ndarray, ranks: np.ndarray, merged: np.ndarray, added: dict[bytes, int] | None = None):
+        #: Strings that are one token wherever they stand in a text, which they cut in two; the longest of those that start at a place.
+        self.added = added or {}
+        self.cut = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + b")") if self.added else None
+        self.pairs = pairs
         self.size = max(tokens.values()) + 1
         by_id = [b""] * self.size
         for t, i in tokens.items():
@@ -98,6 +108,11 @@ class Vocabulary:
         self.table.add(mix(pairs.astype(U)), np.arange(len(pairs)))
         self.ranks, self.merged = ranks.astype(np.int32), merged.astype(np.int32)
 
+    @functools.cached_property
+    def ways(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged token by pair."""
+        return dict(zip(self.pairs.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = self.table.find(mix((a.astype(U) << U(32)) | b.astype(U)).ravel()).reshape(a.shape)
         return np.where(k < 0, NO_RANK, self.ranks[k]), self.merged[k]
@@ -128,14 +143,18 @@ def rank_vocabulary(path: str) -> Vocabulary:
 def merge_vocabulary(path: str) -> Vocabulary:
     """A tokenizers file of byte-level BPE: the pairs that merge are listed in the order of their ranks."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model = whole["model"]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
     char = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    tokens = {bytes(char[c] for c in t): i for t, i in model["vocab"].items() if all(c in char for c in t) and not t.startswith("<|")}
+    added = {t["content"].encode(): t["id"] for t in whole.get("added_tokens", [])}
+    if any(t[k] for t in whole.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take white space, stand as words or are normalised are not supported")
+    tokens = {bytes(char[c] for c in t): i for t, i in model["vocab"].items() if all(c in char for c in t) and t.encode() not in added}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     v = model["vocab"]
     pairs = np.array([_pair(v[a], v[b]) for a, b in merges], np.uint64)
-    return Vocabulary(tokens, pairs, np.arange(len(pairs)), np.array([v[a + b] for a, b in merges]))
+    return Vocabulary(tokens, pairs, np.arange(len(pairs)), np.array([v[a + b] for a, b in merges]), added)
 
 
 def merge_rows(vocabulary: Vocabulary, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -174,6 +193,35 @@ def merge_rows(vocabulary: Vocabulary, rows: np.ndarray) -> list[tuple[np.ndarra
     return out
 
 
+def merge_long(vocabulary: Vocabulary, row: np.ndarray) -> np.ndarray:
+    """The ids of one long row of byte tokens: merge_rows' rounds with a heap of (rank, place) and a linked list of tokens."""
+    n, ids, ways = len(row), row.tolist(), vocabulary.ways
+    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+    rank, _ = vocabulary.rank_of(row[:-1], row[1:])
+    at = np.flatnonzero(rank != NO_RANK)
+    heap = ((rank[at].astype(np.int64) << 32) | at).tolist()
+    heapq.heapify(heap)
+    live = rank.tolist()  # the rank of the pair that starts at a place now
+    live.append(-1)
+    while heap:
+        r, i = divmod(heapq.heappop(heap), 1 << 32)
+        if live[i] != r:
+            continue
+        j = after[i]
+        ids[i] = ways[_pair(ids[i], ids[j])][1]
+        live[j], ids[j], after[i] = -1, -1, after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k < 0:
+                continue
+            way = ways.get(_pair(ids[k], ids[after[k]])) if after[k] >= 0 else None
+            live[k] = way[0] if way else -1
+            if way:
+                heapq.heappush(heap, (way[0] << 32) | k)
+    return np.array([x for x in ids if x >= 0], np.int32)
+
+
 class Encoder:
     """Encodes lists of texts; remembers the matches that it has seen."""
 
@@ -188,12 +236,15 @@ class Encoder:
         hashes, first = np.unique(hashes, return_index=True)
         starts, sizes = starts[first], (ends - starts)[first]
         lengths, parts = np.zeros(len(first), np.int64), []
-        longest = int(sizes.max())
+        for k in np.flatnonzero(sizes > LONG):
+            parts.append((np.array([k]), merge_long(self.v, self.v.of_byte[buf[starts[k] : starts[k] + sizes[k]]])))
+            lengths[k] = len(parts[-1][1])
+        longest = int(min(sizes.max(), LONG))
         edges = [*BUCKETS]
         while edges[-1] < longest:
             edges.append(edges[-1] * 2)
-        bucket = np.searchsorted(edges, sizes)
-        for k in np.unique(bucket):
+        bucket = np.where(sizes > LONG, -1, np.searchsorted(edges, sizes))
+        for k in np.unique(bucket[bucket >= 0]):
             every, width = np.flatnonzero(bucket == k), edges[k]
             for at in range(0, len(every), max(1, (1 << 18) // width)):
                 mine = every[at : at + max(1, (1 << 18) // width)]
@@ -244,7 +295,19 @@ class Encoder:
         return ids, spans(lengths)[first]
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text. Added tokens cut a text into parts, which are encoded as texts of their own."""
+        if self.v.cut is None:
+            yield from self._encoded(texts)
+            return
+        cut = [self.v.cut.split(t) for t in texts]  # parts and added tokens by turns
+        ids = self._encoded([p for c in cut for p in c[::2]])
+        for c in cut:
+            parts = [next(ids)]
+            for t in c[1::2]:
+                parts += [np.array([self.v.added[t]], np.int32), next(ids)]
+            yield parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def _encoded(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         for i, j in pieces_of(texts):
             ids, at = self._encode(texts[i:j])
             if self.v.decode(ids) != b"".join(texts[i:j]):  # two matches with one hash, which must not be

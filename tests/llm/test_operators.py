@@ -14,6 +14,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -58,10 +60,9 @@ def test_bpe_is_tiktoken(table, empty):
 
 def test_bpe_on_random_texts():
     rng = random.Random(3)
-    parts = ["'", "s", "re", "ll", " ", "  ", "\n", "a", "B", "é", "１", "2", "!", "日", "́", "\x1c", "\x85", "\xa0", "😀", "'s"]
+    parts = ["'", "s", "re", "ll", " ", "  ", "\n", "a", "B", "é", "１", "2", "!", "日", "́", "\x1c", "\x85", "\xa0", "😀", "'s", "<|endoftext|>"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     want = Tokenizer.from_file(MERGES)
-    want.encode_special_tokens = True
     got = bpe.merge_encoder(MERGES).encode([t.encode() for t in texts])
     for t, ids in zip(texts, got, strict=True):
         assert ids.tolist() == want.encode(t, add_special_tokens=False).ids, t
@@ -215,39 +216,66 @@ def test_exact_dedup(table, empty):
         assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (keep, every[t], r["doc_id"] == keep, hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_long_matches_are_tiktokens():
+    rng = random.Random(8)
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for text in ("".join(rng.choices(letters, k=1_200_000)), "ab" * 5000, "a" * 257 + " " + "é" * 700, "".join(rng.choices(letters, k=256))):
+        assert next(bpe.rank_encoder(RANKS).encode([text.encode()])).tolist() == enc.encode_ordinary(text)
+
+
 def test_packing(spark, table, empty):
+    """Repeated rows and null ids are documents of their own; ids are the library's, special strings too."""
     tok = Tokenizer.from_file(MERGES)
-    tok.encode_special_tokens = True
-    got = rows(packing.pack_documents(table.filter("doc_id <> 4"), MERGES))
-    bins = defaultdict(list)
-    pieces = defaultdict(list)
+    got = rows(packing.pack_documents(table, MERGES))
+    bins, pieces = defaultdict(list), Counter()
     for r in got:
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
-        pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        pieces[r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]] += 1
     for b in bins.values():
         at = 0
         for off, size in sorted(b):
             assert off == at
             at += size
         assert at <= 1024
-    for doc, own in pieces.items():
-        ids = [*tok.encode(HARD[doc] or "", add_special_tokens=False).ids, 2]
-        at = 0
-        for k, (piece, start, size, crc) in enumerate(sorted(own)):
-            assert piece == k and start == at and (size == 1024 or k == 0)
-            assert crc == zlib.crc32(np.array(ids[start : start + size], "<u4").tobytes())
-            at += size
-        assert at == len(ids)
+    want = Counter()
+    for r in rows(table):
+        ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            want[r["doc_id"], k, i, j - i, zlib.crc32(np.array(ids[i:j], "<u4").tobytes())] += 1
+    assert pieces == want
     assert not rows(packing.pack_documents(empty, MERGES))
 
 
-def test_the_genetic_algorithm_packs_each_item_once():
-    rng = random.Random(4)
-    sizes = [rng.randint(1, 1023) for _ in range(600)]
-    bins = packing.evolve(sizes, 1024, 1)
-    assert sorted(i for b in bins for i in b) == list(range(600)) and all(sum(sizes[i] for i in b) <= 1024 for b in bins)
-    plain = packing.best_fit(sorted(range(600), key=lambda i: -sizes[i]), sizes, 1024)
-    assert -(-sum(sizes) // 1024) <= len(bins) <= len(plain)
+def test_packing_needs_few_sequences(spark):
+    """No more than best-fit decreasing by one deme, and each item in one place."""
+    rng = random.Random(6)
+    sizes = [rng.randint(200, 700) for _ in range(3000)] + [1024] * 5
+    got = rows(packing.pack_items(spark.createDataFrame(list(enumerate(sizes)), "item long, length long").repartition(3), deme=1000))
+    assert sorted(r["item"] for r in got) == list(range(len(sizes)))
+    ends = defaultdict(list)
+    for r in got:
+        ends[r["sequence_id"]].append((r["offset"], sizes[r["item"]]))
+    for e in ends.values():
+        assert [o for o, _ in sorted(e)] == [sum(n for _, n in sorted(e)[:k]) for k in range(len(e))] and sum(n for _, n in e) <= 1024
+    assert len(ends) <= len(packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1024))
+
+
+@pytest.mark.parametrize(("low", "high", "better"), [(200, 700, True), (250, 520, True), (1, 1023, False)])
+def test_islands_beat_best_fit(low, high, better):
+    rng = random.Random(low)
+    sizes = [rng.randint(low, high) for _ in range(2000)]
+    islands, elites = [[] for _ in range(packing.ISLANDS)], [None] * packing.ISLANDS
+    for epoch in range(packing.EPOCHS):
+        islands = [packing.evolve(sizes, 1024, own, elite, 10 * epoch + k) for k, (own, elite) in enumerate(zip(islands, elites, strict=True))]
+        elites = [islands[k - 1][0] for k in range(packing.ISLANDS)]
+    best = min((own[0] for own in islands), key=len)
+    assert sorted(i for _, items in best for i in items) == list(range(2000)) and all(used == sum(sizes[i] for i in items) <= 1024 for used, items in best)
+    plain = len(packing.best_fit(sorted(range(2000), key=lambda i: -sizes[i]), sizes, 1024))
+    assert packing.least_bins(sizes, 1024) <= len(best) <= plain - better
 
 
 def shingles(t, n=3):
@@ -273,7 +301,7 @@ def plain_components(texts, hundredths=90, n=3):
     return {k: (len(sets[k]), find(k)) for k in texts}
 
 
-@pytest.mark.parametrize(("hundredths", "block"), [(90, 3000), (80, 3000), (90, 5)])
+@pytest.mark.parametrize(("hundredths", "block"), [(90, 1024), (80, 3)])
 def test_jaccard_against_all_pairs(spark, monkeypatch, hundredths, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(hundredths + block)
@@ -337,9 +365,11 @@ def test_near_stage_is_five_words_and_four_fifths(spark):
     assert sorted(r["doc_id"] for r in rows(corpus_pipeline.near(spark, df, ""))) == sorted(k for k, r in want.items() if k == r)
 
 
-@pytest.mark.parametrize("common", [0, 200_000])
-def test_prefixes_against_all_pairs(spark, monkeypatch, common):
+@pytest.mark.parametrize(("common", "block", "turns"), [(0, 1024, 0), (200_000, 4, 1)])
+def test_prefixes_against_all_pairs(spark, monkeypatch, common, block, turns):
     monkeypatch.setattr(jaccard_join, "COMMON", common)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", turns)
     texts = near_texts()
     df = spark.createDataFrame([*texts.items(), (1000, ""), (1001, None)], "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in rows(jaccard_join.jaccard_components(df, shingle=5, hundredths=80, prefixes=True))}
@@ -363,3 +393,96 @@ def test_language_id(spark, table, empty):
     hard = {r["doc_id"]: r for r in rows(langid.languages(table))}
     assert all(hard[k]["lang_pred"] == "und" and hard[k]["score"] == 0 for k in (0, 1, 2, 3, 12)) and hard[4]["lang_pred"] in ("en", "fr")
     assert all(0 <= r["score"] <= 1 for r in hard.values()) and not rows(langid.languages(empty))
+
+
+def plain_language(rows_):
+    """A classifier of the same kind, from the rows alone: every text is drawn, since there are few."""
+    drawn = {}
+    for r in rows_:
+        if r["lang"] is not None and r["text"] is not None and not (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2):
+            drawn.setdefault(r["lang"], set()).add((xxhash.xxh64_intdigest(r["text"].encode(), 42) & (2**62 - 1), r["text"]))
+    assert all(len(x) < langid.SAMPLE_ROWS and len(t) <= langid.WINDOW for x in drawn.values() for _, t in x)
+    books = {k: b" ".join(w for _, t in sorted(x) if (w := langid.letters(t)))[: langid.DICTIONARY_BYTES] for k, x in drawn.items()}
+
+    def size(book, text):
+        d = zstandard.ZstdCompressionDict(book or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        tool = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(tool.compress(text[i : i + langid.PIECE])) - 6 for i in range(0, len(text), langid.PIECE))
+
+    def guess(text):
+        plain = langid.letters(text or "")
+        if not plain or not books:
+            return "und", 0.0, False
+        sizes = sorted((size(b, plain), k) for k, b in books.items())
+        lead = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
+        return sizes[0][1], lead, lead > langid.MARGIN
+
+    return guess
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Real texts with null ids, repeated ids and rows, ties, empties and copies."""
+    real = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 1500").limit(110).collect()]
+    texts = [r["text"] for r in real]
+    more = [(5, texts[0], "en"), (None, texts[1], "en"), (None, texts[1], "en"), (None, texts[2] + " and more", "de"), (7, texts[3], "fr"), (7, texts[4] + " x", "fr"), (7, "", None), (8, None, "en"), (9, "12 34", "en"), (9, "12 34", "en"), (None, None, None), (1000, texts[6].replace(" ", "  "), "es"), (-1, texts[7], "en"), (-1, texts[7], "en")]
+    return spark.createDataFrame([(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in real] + [(i, t, k, None, 1) for i, t, k in more], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+
+
+def test_language_id_against_a_plain_classifier(spark, corpus):
+    every = rows(corpus)
+    guess = plain_language(every)
+    got = Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9), r["accepted"]) for r in rows(langid.languages(corpus)))
+    want = Counter((r["doc_id"], r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2, *((g := guess(r["text"]))[0], round(g[1], 9), g[2])) for r in every)
+    assert got == want
+
+
+def test_a_language_of_copies_is_learned(spark):
+    """However often its one text was copied, and however many languages there are."""
+    df = spark.createDataFrame([(k, "le chat dort sur la table de la maison", "xx") for k in range(5000)] + [(9000 + k, f"the dog number {k} barks", f"l{k % 40}") for k in range(400)], "doc_id long, text string, lang string")
+    books = langid.train(df)
+    assert len(books) == 41 and len(books["xx"]) > 30 and all(books.values())
+    long = langid.train(spark.createDataFrame([("lorem ipsum dolor " * 100_000, "la")], "text string, lang string"))
+    assert 1000 < len(long["la"]) <= langid.WINDOW
+
+
+def test_pipeline_against_plain_stages(spark, corpus, tmp_path):
+    every = rows(corpus)
+    corpus.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    guess = plain_language(every)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    want = [r for r in every if guess(r["text"])[2]]
+    got = corpus_pipeline.language(spark, docs, str(tmp_path))
+    plain = lambda rs: Counter(tuple(r.values()) for r in rs)
+    assert got.columns == docs.columns and plain(rows(got)) == plain(want) and len(want) < len(every)
+    first = {}
+    for r in sorted(every, key=key):
+        first.setdefault(" ".join(__import__("re").split(r"[\x20\x09-\x0d]+", r["text"] or "")), r)
+    got = corpus_pipeline.exact(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in rows(got)) == Counter((r["doc_id"], r["text"]) for r in first.values())
+    group = five_word_groups({k: r["text"] or "" for k, r in enumerate(every)})
+    stay = {}
+    for k, r in sorted(enumerate(every), key=lambda x: key(x[1])):
+        stay.setdefault(group[k], r)
+    got = corpus_pipeline.near(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in rows(got)) == Counter((r["doc_id"], r["text"]) for r in stay.values())
+    out = rows(corpus_pipeline.run(spark, str(tmp_path)))
+    kept = []
+    for r in sorted((r for r in want), key=key):
+        if not any((r["text"] or "").split() == (q["text"] or "").split() for q in kept):
+            kept.append(r)
+    group = five_word_groups({k: r["text"] for k, r in enumerate(kept)})
+    final = [r for k, r in enumerate(kept) if group[k] == k]
+    assert Counter(r["doc_id"] for r in out if r["piece"] == 0) == Counter(r["doc_id"] for r in final)
+
+
+def test_pipeline_of_no_documents(spark, empty, tmp_path):
+    empty.select("doc_id", "text", "lang", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    assert not rows(corpus_pipeline.run(spark, str(tmp_path)))
+
+
+def test_kept_documents_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "c d"), (2, "a b"), (None, "e"), (None, "e"), (3, "f"), (3, "f")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in rows(exact_dedup.kept_documents(df)))
+    assert got == [(0, "e"), (1, "a b"), (2, "c d"), (3, "f")]
