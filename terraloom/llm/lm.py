@@ -3,14 +3,13 @@
 Words become 64-bit hashes; the sorted array of the training hashes gives each word its number. A bigram's key is the mix
 of its two numbers, a bijection, so bigrams are told apart exactly. Each task adds up its own rows and sends one blob a
 shard, so no word, however common, is a row group; shards are ranges of hashes and hence even. A shard's task merges its
-blobs and writes sorted arrays into the shared folder, under a name of its own that is moved into place when whole: a task
-that is run again writes the same. Workers map the files; the driver gets a row of sums a shard.
+blobs as they come and writes sorted arrays into the shared folder, under a name of its own that is moved into place when
+whole unless another run of the task was first. Workers map the files; the driver gets a row of sums a shard.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,12 +25,16 @@ from .common import fresh_path, keyed_texts, small_batches, texts_of
 END = mix(np.array([0x51ED270B, 0xB0A3C1D9], U))[0]
 #: Entries that a task adds up before it sends them on; the numbers in one file of word sums.
 MOST_ENTRIES, RANGE = 4_000_000, 1 << 18
+#: Bytes of training text a shard, and shards at most: a task sends a blob to each shard, so their number can't grow without end.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 14
+#: Bytes of files that a worker keeps in memory where the shared folder can't be mapped.
+HELD_BYTES = 256 << 20
 #: Sums of a word: tokens after it, distinct words after it seen once, twice, more often, and distinct words before it.
 SUMS = np.dtype([("n", "<u8"), ("kinds", "<u4", 4)])
 
 
 class Store:
-    """Files in the shared folder: mapped where it is a path, otherwise fetched once a worker and then mapped."""
+    """Files in the shared folder: mapped where it is a path, otherwise read into memory, the latest HELD_BYTES of them."""
 
     def __init__(self, uri: str):
         self.uri, self.maps = uri, {}
@@ -49,21 +52,22 @@ class Store:
         part = f"{path}/.{name}-{uuid.uuid4().hex}"
         with fs.open_output_stream(part) as f:
             f.write(np.ascontiguousarray(data).tobytes())
-        fs.move(part, f"{path}/{name}")
+        if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.NotFound:
+            fs.move(part, f"{path}/{name}")
+        else:  # the same bytes, of another run of this task
+            fs.delete_file(part)
 
     def map(self, name: str, kind) -> np.ndarray:
         if name not in self.maps:
             fs, path = self._fs()
             path = f"{path}/{name}"
-            own = None
-            if not isinstance(fs, pafs.LocalFileSystem):
-                fd, own = tempfile.mkstemp()
-                with fs.open_input_stream(path) as f, os.fdopen(fd, "wb") as out:
-                    while block := f.read(1 << 22):
-                        out.write(block)
-            self.maps[name] = np.memmap(own or path, kind, "r") if os.path.getsize(own or path) else np.zeros(0, kind)
-            if own:
-                os.unlink(own)  # the map keeps it until the worker ends
+            if isinstance(fs, pafs.LocalFileSystem):
+                self.maps[name] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+            else:
+                with fs.open_input_stream(path) as f:
+                    self.maps[name] = np.frombuffer(f.read(), kind)
+                while len(self.maps) > 1 and sum(x.nbytes for x in self.maps.values()) > HELD_BYTES:
+                    del self.maps[next(iter(self.maps))]
         return self.maps[name]
 
 
@@ -124,8 +128,20 @@ def _counted(entries: Iterator[tuple[np.ndarray, np.ndarray]], shards: int, mixe
         yield _blobs(keys, counts, shards, mix(keys) if mixed else keys)
 
 
-def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+def _merged(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray, np.ndarray]:
+    """A shard's number, keys and sums from its blobs, merged whenever they have doubled."""
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, U), np.zeros(0, np.int64))]
+    n, limit, shard = 0, MOST_ENTRIES, -1
+    for b in batches:
+        shard = b.column("shard")[0].as_py()
+        for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            held.append((np.frombuffer(keys, U), np.frombuffer(counts, np.uint32).astype(np.int64)))
+            n += len(held[-1][0])
+            if n > limit:
+                held[:] = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                n = len(held[0][0])
+                limit = max(MOST_ENTRIES, 2 * n)
+    return shard, *summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 class Model:
@@ -137,18 +153,17 @@ class Model:
         self.words, self.tokens = int(self.offsets[-1]), 0
         self.discounts = self.lower_discounts = np.zeros(4)
         self.bigrams, self.lower_types = 0, np.zeros(4)
+        self.pair_sizes = [0] * shards
 
-    def _find(self, prefix: str, keys: np.ndarray, offsets: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def _find(self, prefix: str, keys: np.ndarray, sizes: list[int], offsets: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """keys: sorted and distinct. Numbers (with offsets) and counts, -1 and 0 where absent."""
         number, count = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
         bits = self.shards.bit_length() - 1
         edges = np.searchsorted(keys, np.arange(self.shards, dtype=U) << U(64 - bits)) if bits else np.array([0])
         for s, (a, b) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
-            if a == b or not (offsets is None or self.sizes[s]):
+            if a == b or not sizes[s]:  # an empty shard has no file
                 continue
             there = self.store.map(f"{prefix}-{s}.keys", U)
-            if not len(there):
-                continue
             at = np.minimum(np.searchsorted(there, keys[a:b]), len(there) - 1)
             hit = np.flatnonzero(there[at] == keys[a:b])
             number[a + hit] = at[hit] + (offsets[s] if offsets is not None else 0)
@@ -166,7 +181,7 @@ class Model:
     def numbered(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each word, -1 if unknown, and its training count."""
         keys, back = np.unique(hashes, return_inverse=True)
-        number, count = self._find("words", keys, self.offsets)
+        number, count = self._find("words", keys, self.sizes, self.offsets)
         return number[back], count[back]
 
     def contexts(self, number: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -203,7 +218,7 @@ class Model:
         key = mix((context[known].astype(U) << U(32)) | number[known].astype(U))
         keys, back = np.unique(key, return_inverse=True)
         pair = np.zeros(len(number), np.int64)
-        pair[known] = self._find("pairs", keys, None)[1][back] if self.bigrams else 0
+        pair[known] = self._find("pairs", keys, self.pair_sizes, None)[1][back]
         every, back = np.unique(np.concatenate([np.maximum(number, 0), np.maximum(context, 0)]), return_inverse=True)
         sums = self.sums(every) if self.bigrams else np.zeros((len(every), 5), np.int64)
         before = np.where(number >= 0, sums[back[: len(number)], 4], 0)
@@ -228,8 +243,8 @@ def train(texts: DataFrame) -> Model:
     """texts: a column `text`. Counts words, then bigrams by the words' numbers, then sums by word."""
     spark = texts.sparkSession
     store = Store(fresh_path(spark, "lm"))
-    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 1 << max(0, (want - 1).bit_length())
+    text_bytes = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = min(MOST_SHARDS, 1 << (-(-text_bytes // SHARD_BYTES) - 1).bit_length() if text_bytes else 1)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def entries():
@@ -240,12 +255,11 @@ def train(texts: DataFrame) -> Model:
 
         return _counted(entries(), shards, False)
 
-    def keep_words(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        keys, counts = summed(_joined(table, "keys", U), _joined(table, "counts", np.uint32).astype(np.int64))
+    def keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, counts = _merged(batches)
         store.put(f"words-{shard}.keys", keys)
         put_counts(store, f"words-{shard}", counts)
-        return pa.table({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())]})
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())]})
 
     got = texts.mapInArrow(count_words, BLOB).groupBy("shard").applyInArrow(keep_words, "shard long, n long, total long").collect()
     sizes = {r["shard"]: r["n"] for r in got}
@@ -266,14 +280,13 @@ def train(texts: DataFrame) -> Model:
 
         return _counted(entries(), shards, True)
 
-    def keep_pairs(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        keys, counts = summed(_joined(table, "keys", U), _joined(table, "counts", np.uint32).astype(np.int64))
+    def keep_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, counts = _merged(batches)
         hashed = mix(keys)
         order = np.argsort(hashed)
         store.put(f"pairs-{shard}.keys", hashed[order])
         put_counts(store, f"pairs-{shard}", counts[order])
-        rows = [(-1, np.array([len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))], np.int64), np.zeros(0, np.int64))]
+        rows = [(-1, np.array([len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4)), shard], np.int64), np.zeros(0, np.int64))]
         left, right = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
         word, back = np.unique(np.concatenate([left, right]), return_inverse=True)
         sums = np.zeros((len(word), 5), np.int64)
@@ -285,23 +298,31 @@ def train(texts: DataFrame) -> Model:
         for q in np.unique(word // RANGE):
             mine = word // RANGE == q
             rows.append((int(q), word[mine], sums[mine]))
-        return pa.table({"shard": pa.array([q for q, _, _ in rows], pa.int64()), "keys": pa.array([a.astype("<i8").tobytes() for _, a, _ in rows], pa.binary()), "counts": pa.array([b.astype("<i8").tobytes() if q >= 0 else b"" for q, _, b in rows], pa.binary())})
-
-    def keep_sums(table: pa.Table) -> pa.Table:
-        q = table.column("shard")[0].as_py()
-        if q < 0:
-            total = _joined(table, "keys", np.int64).reshape(-1, 5).sum(0)
-            return pa.table({"shard": [q], "sums": [[int(x) for x in total]]})
-        out = np.zeros((RANGE, 5), np.int64)
-        np.add.at(out, _joined(table, "keys", np.int64) - q * RANGE, _joined(table, "counts", np.int64).reshape(-1, 5))
-        rows = np.zeros(max(0, min(RANGE, model.words + 1 - q * RANGE)), SUMS)
-        rows["n"], rows["kinds"] = out[: len(rows), 0], out[: len(rows), 1:]
-        store.put(f"sums-{q}", rows)
-        return pa.table({"shard": [q], "sums": [[int((out[:, 4] == k).sum()) for k in (1, 2, 3, 4)] + [int((out[:, 4] > 2).sum())]]})
+        for q, a, x in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([a.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<i8").tobytes()], pa.binary())], ["shard", "keys", "counts"])
+
+    def keep_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, totals, q = np.zeros((RANGE, 5), np.int64), [], -1
+        for b in batches:
+            q = b.column("shard")[0].as_py()
+            for keys, sums in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                if q < 0:
+                    totals.append([int(x) for x in np.frombuffer(keys, "<i8")])
+                else:
+                    np.add.at(out, np.frombuffer(keys, "<i8") - q * RANGE, np.frombuffer(sums, "<i8").reshape(-1, 5))
+        if q >= 0:
+            rows = np.zeros(max(0, min(RANGE, model.words + 1 - q * RANGE)), SUMS)
+            rows["n"], rows["kinds"] = out[: len(rows), 0], out[: len(rows), 1:]
+            store.put(f"sums-{q}", rows)
+            totals = [[int((out[:, 4] == k).sum()) for k in (1, 2, 3, 4)] + [int((out[:, 4] > 2).sum())]]
+        yield pa.RecordBatch.from_arrays([pa.array([q] * len(totals), pa.int64()), pa.array(totals, pa.list_(pa.int64()))], ["shard", "sums"])
 
     pairs = texts.mapInArrow(count_pairs, BLOB).groupBy("shard").applyInArrow(keep_pairs, BLOB)
     rows = pairs.groupBy("shard").applyInArrow(keep_sums, "shard long, sums array<long>").collect()
-    total = next((r["sums"] for r in rows if r["shard"] < 0), [0] * 5)
+    for r in rows:
+        if r["shard"] < 0:
+            model.pair_sizes[r["sums"][5]] = r["sums"][0]
+    total = np.array([r["sums"][:5] for r in rows if r["shard"] < 0], np.int64).reshape(-1, 5).sum(0).tolist()
     types = np.array([r["sums"] for r in rows if r["shard"] >= 0], np.int64).reshape(-1, 5).sum(0)
     model.bigrams, model.discounts = total[0], discounts(*total[1:])
     model.lower_discounts, model.lower_types = discounts(*types[:4].tolist()), np.array([0, types[0], types[1], types[4]], float)
