@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,113 +13,126 @@ from pyspark.sql import functions as F
 
 from .bytehash import HashTable, Words, byte_table, gathered, pieces_of, spans
 from .common import keyed_texts, small_batches, texts_of
+from .licence_texts import TEMPLATES
 
 #: Words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing.
 IN_WORD = byte_table("00-2F 3A-60 7B-7F")
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # Phrases whose every place is reported, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Opening words of public licences and notices, as their publishers give them, with the phrase that must stand in the text.
-TEMPLATES = {
-    "agpl": ("gnu affero general public license", "affero general public license"),
-    "apache-2.0": ("licensed under the apache license version 2 0", "apache license version 2 0"),
-    "artistic-2.0": ("the artistic license 2 0", "artistic license 2 0"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    "cc-by-nc": ("licensed under cc by nc 4 0", "cc by nc"),
-    "cc-by-sa": ("licensed under cc by sa 4 0", "cc by sa"),
-    "cc0": ("cc0 1 0 universal", "cc0 1 0"),
-    "creative-commons": ("this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    "epl-2.0": ("eclipse public license v 2 0", "eclipse public license"),
-    "gpl-3.0": ("this work is licensed under the gnu general public license version 3", "general public license version 3"),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
-    "lgpl": ("gnu lesser general public license", "lesser general public license"),
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
-    "mit-named": ("released under the mit license", "mit license"),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    "unlicense": ("this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-}
-#: Names under which templates are reported, where they differ.
-LABELS = {"mit-named": "mit"}
-#: Words of a phrase, those of highest IDF, whose postings are intersected before all its words are compared.
-RARE = 3
+#: A template is found where this share of its words, in hundredths, stands at their places, its mandatory phrase among them.
+SHARE = 80
+#: Rare words of a template that must agree on its place before all its words are compared there.
+AGREE = 2
+
+Template = tuple[str, str, str]
+
+
+def words_of(text: str) -> list[str]:
+    return [w.decode() for w in _WORD.findall(text.encode().lower())]
 
 
 class Index:
-    """Templates as numbers of words; a phrase's rarest words by IDF."""
+    """From a word to its places in templates, for each template's rarest words.
 
-    def __init__(self, idf: dict[str, float] | None = None, templates=TEMPLATES, base=BASE):
-        self.names, self.templates, self.base = sorted({w for t, k in templates.values() for w in f"{t} {k}".split()} | {w for b in base for w in b.split()}), templates, base
+    A template of n words is found where m = SHARE hundredths of n words or more stand at their places. Any n - m + AGREE of
+    its words hold AGREE of those, so only that many, the ones of highest IDF, have postings, and none that is found is
+    missed. Base phrases are templates of which all words must stand.
+    """
+
+    def __init__(self, idf: Mapping[str, float] | None = None, templates: Sequence[Template] = TEMPLATES, base: Mapping[str, str] = BASE):
+        every = [*((label, words_of(key), words_of(text), SHARE) for label, key, text in templates), *((label, words_of(p), words_of(p), 100) for p, label in base.items())]
+        self.n_own = len(templates)
+        self.labels = [t[0] for t in every]
+        self.names = sorted({w for _, _, words, _ in every for w in words})
         self.number = {w: i for i, w in enumerate(self.names)}
+        self.coded = [w.encode() for w in self.names]
         self.table = HashTable(len(self.names) * 4)
-        self.table.add(Words([w.encode() for w in self.names], IN_WORD).hash, np.arange(len(self.names)))
-        self.idf = idf or {}
-
-    def words(self, phrase: str) -> np.ndarray:
-        return np.array([self.number[w] for w in phrase.split()])
-
-    def rarest(self, phrase: str) -> list[int]:
-        """Places in the phrase of its words of highest IDF."""
-        w = phrase.split()
-        return sorted(range(len(w)), key=lambda k: (-self.idf.get(w[k], math.inf), k))[:RARE]
-
-    def places(self, postings: dict[int, np.ndarray], ids: np.ndarray, phrase: str) -> np.ndarray:
-        """Where in ids the phrase starts: postings of its rarest words, intersected by relative place, then every word."""
-        w = self.words(phrase)
-        first, *others = self.rarest(phrase)
-        at = postings.get(int(w[first]), np.zeros(0, np.int64)) - first
-        at = at[(at >= 0) & (at + len(w) <= len(ids))]
-        for k in [*others, *range(len(w))]:
-            if not len(at):
-                break
-            at = at[ids[at + k] == w[k]]
-        return at
-
-    def scan(self, texts: list[bytes]) -> list[tuple]:
-        """For each text: words, places of base phrases, the first and the last, base labels, all labels, score."""
-        found = Words(texts, IN_WORD)
+        self.table.add(Words(self.coded, IN_WORD).hash, np.arange(len(self.names)))
+        idf = idf or {}
+        self.size, self.least, self.agree, self.lead, self.key = (np.zeros(len(every), np.int64) for _ in range(5))
+        postings: list[tuple[int, int, int]] = []
+        for t, (label, key, words, share) in enumerate(every):
+            n = len(words)
+            self.size[t], self.least[t], self.key[t] = n, -(-share * n // 100), len(key)
+            places = [i for i in range(n) if words[i : i + len(key)] == key]
+            if not places:
+                raise ValueError(f"the mandatory phrase of {label} is not in its text")
+            self.lead[t] = places[0]
+            self.agree[t] = min(AGREE, self.least[t])
+            rare = sorted(range(n), key=lambda i: (-idf.get(words[i], math.inf), i))[: n - self.least[t] + self.agree[t]]
+            postings += [(self.number[words[i]], t, i) for i in rare]
+        self.words = np.array([self.number[w] for _, _, words, _ in every for w in words])
+        self.starts = spans(self.size)[:-1]
+        posted = np.array(sorted(postings)).reshape(-1, 3)
+        self.template, self.place = posted[:, 1], posted[:, 2]
+        self.first = np.searchsorted(posted[:, 0], np.arange(len(self.names) + 1))
+
+    def found(self, found: Words) -> tuple[np.ndarray, ...]:
+        """Document, template, start (a number of a word, perhaps before the document's first) and share of what is found."""
+        n_docs, none = len(found.first) - 1, np.zeros(0, np.int64)
         ids = self.table.find(found.hash)
         hits = np.flatnonzero(ids >= 0)
         hits = hits[self._same(found, hits, ids[hits])]
+        if not len(hits):
+            return none, none, none, none
         known = np.full(len(ids), -1)
         known[hits] = ids[hits]
-        order = hits[np.argsort(known[hits], kind="stable")]
-        numbers, at = np.unique(known[order], return_index=True)
-        postings = {int(n): order[a:b] for n, a, b in zip(numbers, at, [*at[1:], len(order)], strict=True)}
-        of = np.searchsorted(found.first, np.arange(len(ids)), "right") - 1 if len(hits) else None
-        base: dict[int, list[tuple[int, str]]] = {}
-        labels: dict[int, dict[str, float]] = {}
-        for phrase, label in self.base.items() if len(hits) else ():
-            for p in self.places(postings, known, phrase):
-                d = of[p]
-                if of[p + len(phrase.split()) - 1] == d:
-                    base.setdefault(int(d), []).append((int(p - found.first[d]), label))
-        for name, (template, key) in self.templates.items() if len(hits) else ():
-            w, k = self.words(template), self.words(key)
-            lead = next(i for i in range(len(w)) if list(w[i : i + len(k)]) == list(k))
-            for p in self.places(postings, known, key):
-                d = int(of[p])
-                if of[p + len(k) - 1] != d:
-                    continue
-                lo, hi = max(found.first[d], p - lead), min(found.first[d + 1], p - lead + len(w))
-                share = float((known[lo:hi] == w[lo - (p - lead) : hi - (p - lead)]).mean() * (hi - lo) / len(w))
-                mine = labels.setdefault(d, {})
-                mine[LABELS.get(name, name)] = max(mine.get(LABELS.get(name, name), 0.0), share)
+        # postings of each word that has some, shifted to where the template would start
+        w = known[hits]
+        many = self.first[w + 1] - self.first[w]
+        doc = np.repeat(np.searchsorted(found.first, hits, "right") - 1, many)
+        k = gathered(np.arange(len(self.template)), self.first[w], many)
+        template, start = self.template[k], np.repeat(hits, many) - self.place[k]
+        # those that agree on a place
+        low = int(start.min(initial=0))
+        wide = len(ids) - low + 1
+        way, agree = np.unique((doc * len(self.labels) + template) * wide + (start - low), return_counts=True)
+        doc, template, start = way // wide // len(self.labels), way // wide % len(self.labels), way % wide + low
+        some = agree >= self.agree[template]
+        doc, template, start = doc[some], template[some], start[some]
+        if not len(doc):
+            return none, none, none, none
+        # every word, then the mandatory phrase
+        size = self.size[template]
+        at = spans(size)
+        step = np.arange(at[-1]) - np.repeat(at[:-1], size)
+        place, own = np.repeat(start, size) + step, np.repeat(doc, size)
+        inside = (place >= found.first[own]) & (place < found.first[own + 1])
+        equal = inside & (known[np.clip(place, 0, len(known) - 1)] == gathered(self.words, self.starts[template], size))
+        share = np.add.reduceat(equal.astype(np.int64), at[:-1])
+        lead = np.repeat(self.lead[template], size)
+        key = equal & (step >= lead) & (step < lead + np.repeat(self.key[template], size))
+        good = (share >= self.least[template]) & (np.add.reduceat(key.astype(np.int64), at[:-1]) == self.key[template])
+        return doc[good], template[good], start[good], share[good] / size[good]
+
+    def scan(self, texts: list[bytes]) -> list[tuple]:
+        """For each text: words, places of base phrases, the first and the last, base labels, all labels, score."""
+        found = Words(texts, IN_WORD)
+        places: dict[int, list[int]] = {}
+        said: dict[int, set[str]] = {}
+        best: dict[int, dict[str, float]] = {}
+        for d, t, start, share in zip(*(x.tolist() for x in self.found(found)), strict=True):
+            label = self.labels[t]
+            mine = best.setdefault(d, {})
+            mine[label] = max(mine.get(label, 0.0), share)
+            if t >= self.n_own:
+                places.setdefault(d, []).append(start - int(found.first[d]))
+                said.setdefault(d, set()).add(label)
         out = []
         for d in range(len(texts)):
-            places, own = base.get(d, []), labels.get(d, {})
-            said = sorted({x for _, x in places})
-            starts = [p for p, _ in places]
-            out.append((int(found.first[d + 1] - found.first[d]), len(places), min(starts, default=None), max(starts, default=None), ",".join(said), ",".join(sorted({*said, *own})), max([*own.values(), *([1.0] if places else [0.0])])))
+            at, own = places.get(d, []), best.get(d, {})
+            out.append((int(found.first[d + 1] - found.first[d]), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(said.get(d, ()))), ",".join(sorted(own)), max(own.values(), default=0.0)))
         return out
 
     def _same(self, found: Words, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Whether the words are those that their hashes say."""
-        names = [w.encode() for w in self.names]
-        sizes = np.array([len(w) for w in names])
+        sizes = np.array([len(w) for w in self.coded])
         same = (found.ends[at] - found.starts[at]) == sizes[ids]
         k = np.flatnonzero(same)
         if not len(k):
             return same
-        flat, offsets = np.frombuffer(b"".join(names), np.uint8), spans(sizes)[:-1]
+        flat, offsets = np.frombuffer(b"".join(self.coded), np.uint8), spans(sizes)[:-1]
         lengths = sizes[ids[k]]
         equal = gathered(found.buf, found.starts[at[k]], lengths) == gathered(flat, offsets[ids[k]], lengths)
         same[k] = np.logical_and.reduceat(equal, spans(lengths)[:-1])
@@ -150,10 +164,11 @@ def inverse_frequencies(texts: DataFrame) -> dict[str, float]:
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
-    A phrase's words of highest IDF are looked up, their places intersected by relative position, and all words verified.
-    A template's label is given where its mandatory key phrase stands; its share is that of the template's words at their
-    places around it. score: the largest share, 1 with a base phrase, 0 with nothing found. Null and empty texts: no
-    words, no labels. Repeated rows and null ids are rows like others; other columns are not read; empty table: no rows.
+    A file's licence words of highest IDF (those that a template has among its rarest) are looked up in the index; where
+    postings of a template agree on its place, all its words are compared, and its mandatory phrase must stand. labels: of
+    the templates found and of base phrases; score: the largest share of a template's words that stand, 1 with a base
+    phrase, 0 with nothing found. A template may begin before a text or end after it. Null and empty texts: no words, no
+    labels. Repeated rows and null ids are rows like others; other columns are not read; empty table: no rows.
     """
     small_batches(df.sparkSession)
     texts = keyed_texts(df, id_col, text_col)
