@@ -52,4 +52,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_lm_scores, op3_chat_format, op4_sharding, op5_media, op6_licences, op7_exact_dedup, op8_packing, op9_jaccard_join, op10_language_id)}
-ORACLES: dict[str, str] = {"op3_chat_format": chat_format.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_chat_format": chat_format.ORACLE_SQL, "op4_sharding": sharding.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
