@@ -39,9 +39,9 @@ def call_depths(calls: DataFrame) -> DataFrame:
 
     Pointer doubling: each round joins every call with the call it points to, adds its distance and takes its pointer; so
     a chain of n calls takes log2(n) rounds, each a hash join on unique ids, however the calls spread over conversations.
-    A parent that is not in calls counts as none.
+    A parent that is not in calls counts as none. Of the parents of a repeated id the least counts (null only if all are).
     """
-    ids = calls.select("call_id", "parent_id").dropDuplicates(["call_id"])
+    ids = calls.groupBy("call_id").agg(F.min("parent_id").alias("parent_id"))
     known = ids.select(F.col("call_id").alias("to"))
     linked = ids.select("call_id", F.col("parent_id").alias("to")).join(known, "to", "left_semi").select("call_id", "to")
     links = ids.select("call_id").join(linked, "call_id", "left").withColumn("steps", F.when(F.col("to").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long"))
@@ -64,7 +64,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     cycle and for a result without a call), valid, errors, message (keys sorted, no white space, null content empty).
 
     Calls and results meet in hash joins on the identifier alone, so a hot conversation spreads like any other. schemas is
-    a parameter, not data: its checks become expressions. Repeated call ids: each row is kept, the id counts as one call.
+    a parameter, not data: its checks become expressions. Repeated call ids: each row is kept, the id counts as one call, whose
+    parent is the least of those named.
     Null ids link to nothing. Empty tables give no rows. Other columns are not read.
     """
     calls = calls.select(*(F.col(c).cast("string") for c in ("call_id", "parent_id", "name", "arguments")))

@@ -180,27 +180,6 @@ def load_payload(media: bytes) -> tuple[bytes, dict]:
     return b"".join(p for _, _, p in timed), {"streams": len(streams), "pages": sum(s.pages for s in streams.values()), "packets": len(timed), "end": max((t for t, _, _ in timed), default=0.0)}
 
 
-def packets_of(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """The packets of Ogg files: id, serial, packet (from 0), data, end_s (null if not told), errors of the file.
-
-    A null or empty file has no rows; damaged pages are left out and told in errors.
-    """
-    small_batches(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, media in zip(b.column("id").to_pylist(), b.column("media").to_pylist(), strict=True):
-                streams, errors = read_ogg(media or b"")
-                said = "; ".join(errors + [e for s in streams.values() for e in s.errors])
-                for serial, s in streams.items():
-                    rows += [{"id": i, "serial": serial, "packet": k, "data": p, "end_s": t, "errors": said} for k, (p, t) in enumerate(zip(s.packets, packet_times(s), strict=True))]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("serial", pa.int64()), ("packet", pa.int64()), ("data", pa.binary()), ("end_s", pa.float64()), ("errors", pa.string())]))
-
-    return df.selectExpr(f"cast(`{id_col}` AS long) AS id", f"cast(`{media_col}` AS binary) AS media").mapInArrow(run, "id long, serial long, packet long, data binary, end_s double, errors string")
-
-
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
     """Stores each whole text as an Ogg file, reads the file back, and describes it; see the columns below.
 
