@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,19 @@ def dominant_class(df: DataFrame, unit: list[str], cls: str) -> DataFrame:
     return n.groupBy(*unit).agg(F.max_by(F.col(cls), F.struct(F.col("n"), -F.col(cls))).alias(cls))
 
 
+def dominant_by_period(df: DataFrame, unit: str, cls: str, area: str, periods: Mapping[str, Column]) -> DataFrame:
+    """By unit, for each period (a name and its condition): the most frequent class, of ties the smallest, and the area.
+
+    One pass: classes are counted by unit and period, then each unit's few rows become columns class_<name> and area_<name>,
+    null where a unit lacks the period.
+    """
+    which = F.coalesce(*(F.when(c, F.lit(k)) for k, c in periods.items()))
+    n = df.withColumn("__p", which).filter("__p IS NOT NULL").groupBy(unit, "__p", cls).agg(F.count("*").alias("__n"), F.sum(area).alias("__a"))
+    mine = lambda k, x: F.when(F.col("__p") == k, x)
+    aggs = [x for k in periods for x in (F.max_by(F.col(cls), mine(k, F.struct(F.col("__n"), -F.col(cls)))).alias(f"class_{k}"), F.sum(mine(k, F.col("__a"))).alias(f"area_{k}"))]
+    return n.groupBy(unit).agg(*aggs)
+
+
 def class_areas(df: DataFrame, cls: str, area: str, every: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
     """Area by class, zero where `every` lists a class that has none."""
     got = df.groupBy(*by, cls).agg(F.sum(area).alias("area"))

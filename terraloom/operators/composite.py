@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,10 +19,43 @@ def coverage(obs: DataFrame, cell: Sequence[str], band: str) -> DataFrame:
     return obs.groupBy(*cell).agg(F.avg(F.col(band).isNotNull().cast("int")).alias("coverage"))
 
 
+def percentiles(df: DataFrame, x: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact percentiles of a column (linear between order statistics), without a buffer of the column.
+
+    A sketch brackets each order statistic that is needed; one pass counts the values below the brackets, and only those
+    inside are grouped and ordered, a few thousandths of the column. Nulls don't count; None for an empty column.
+    """
+    d = df.select(F.col(x).cast("double").alias("v")).filter("v IS NOT NULL")
+    n = d.count()
+    if not n:
+        return [None] * len(shares)
+    want = sorted({int(i) for s in shares for i in (math.floor((n - 1) * s), math.ceil((n - 1) * s))})
+    slack, grain = 1 / 500, 1000
+    ends = [(max(0.0, w / n - 2 * slack), min(1.0, (w + 1) / n + 2 * slack)) for w in want]
+    lows, highs = d.agg(F.percentile_approx("v", [e[0] for e in ends], grain), F.percentile_approx("v", [e[1] for e in ends], grain)).first()
+    brackets = [(-math.inf if e[0] == 0 else lo, math.inf if e[1] == 1 else hi) for e, lo, hi in zip(ends, lows, highs, strict=True)]
+    below = d.agg(*(F.count_if(F.col("v") < lo) for lo, _ in brackets)).first()
+    near = None
+    for k, ((lo, hi), w) in enumerate(zip(brackets, want, strict=True)):
+        row = d.filter((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "v", "n")
+        near = row if near is None else near.unionByName(row)
+    # order statistic w of a bracket: the least value with more than w - below values up to it
+    run = F.sum("n").over(Window.partitionBy("k").orderBy("v"))
+    need = F.create_map(*(F.lit(y) for k, w in enumerate(want) for y in (k, w - below[k])))
+    found = {want[r["k"]]: r["v"] for r in near.withColumn("run", run).filter(F.col("run") > need[F.col("k")]).groupBy("k").agg(F.min("v").alias("v")).collect()}
+    out = []
+    for s in shares:
+        at = (n - 1) * s
+        lo, hi = found[math.floor(at)], found[math.ceil(at)]
+        out.append(lo + (hi - lo) * (at - math.floor(at)))
+    return out
+
+
 def with_percentiles(df: DataFrame, x: str, shares: Sequence[float], exact: bool = True) -> DataFrame:
-    """Adds the array __p of percentiles of the whole column: one row, broadcast."""
-    p = F.percentile(x, [float(s) for s in shares]) if exact else F.percentile_approx(x, [float(s) for s in shares])
-    return df.join(F.broadcast(df.agg(p.alias("__p"))))
+    """Adds the array __p of percentiles of the whole column: a literal, or one row of a sketch, broadcast."""
+    if exact:
+        return df.withColumn("__p", F.array(*(F.lit(p).cast("double") for p in percentiles(df, x, shares))))
+    return df.join(F.broadcast(df.agg(F.percentile_approx(x, [float(s) for s in shares]).alias("__p"))))
 
 
 def stretch(df: DataFrame, x: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
@@ -63,3 +97,21 @@ def significance(z: Column) -> Column:
     levels = (1.645, 1.96, 2.576)
     n = sum(((F.abs(z) >= v).cast("int") for v in levels[1:]), (F.abs(z) >= levels[0]).cast("int"))
     return (F.signum(z).cast("int") * n).cast("int")
+
+
+def z_classes(z: Column, edges: Sequence[float] = (-2.576, -1.96, -1.645, -0.5, 0.5, 1.645, 1.96, 2.576)) -> Column:
+    """0 to 8: the number of fixed edges that z exceeds."""
+    return binned(z, [F.lit(e) for e in edges])
+
+
+def mosaic(images: DataFrame, cell: Sequence[str], order: str, bands: Sequence[str]) -> DataFrame:
+    """By cell, each band of the last image that has it."""
+    return images.groupBy(*cell).agg(*(F.max_by(b, F.when(F.col(b).isNotNull(), F.col(order))).alias(b) for b in bands))
+
+
+def merged(*collections: DataFrame) -> DataFrame:
+    """Collections of the same bands, one after another."""
+    out = collections[0]
+    for c in collections[1:]:
+        out = out.unionByName(c)
+    return out

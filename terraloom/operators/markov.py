@@ -53,3 +53,27 @@ def hindcast(simulated: DataFrame, observed: DataFrame) -> DataFrame:
     e = F.abs(F.col("sim") - F.col("obs"))
     g = d.agg(F.sum(e).alias("e"), F.sum("obs").alias("t"), F.sum(F.least("sim", "obs")).alias("h"), F.sum(F.greatest(F.col("obs") - F.col("sim"), F.lit(0.0))).alias("m"), F.sum(F.greatest(F.col("sim") - F.col("obs"), F.lit(0.0))).alias("f"))
     return g.select((F.try_divide("e", "t") * 100).alias("rmae_pct"), (1 - F.try_divide(F.col("e"), 2 * F.col("t"))).alias("overall_accuracy"), F.try_divide(F.col("h"), F.col("h") + F.col("m") + F.col("f")).alias("figure_of_merit"))
+
+
+def chained(areas: DataFrame, matrix: DataFrame, start: int, targets: list[int], step: int) -> DataFrame:
+    """Areas at each target year, projected from the target before by as many whole steps as fit; targets closer than a step have no rows."""
+    out, year = None, start
+    for target in sorted(targets):
+        n = (target - year) // step
+        if n > 0:
+            areas, year = project(areas, matrix, n), target
+            row = areas.select(F.lit(target).alias("year"), F.lit(n).alias("steps"), "class_id", "area")
+            out = row if out is None else out.unionByName(row)
+    return areas.select(F.lit(start).alias("year"), F.lit(0).alias("steps"), "class_id", "area").limit(0) if out is None else out
+
+
+def corrections(before: DataFrame, after: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """The log of a correction: cells whose probability changed, with both values."""
+    b = before.select("c_from", "c_to", F.col("prob").alias("was"))
+    a = after.select("c_from", "c_to", F.col("prob").alias("now"))
+    return b.join(a, ["c_from", "c_to"], "full").fillna(0.0, ["was", "now"]).filter(F.abs(F.col("was") - F.col("now")) > tolerance)
+
+
+def restricted(matrix: DataFrame, classes: list[int]) -> DataFrame:
+    """The matrix of some classes, rows normalised."""
+    return normalised(matrix.filter(F.col("c_from").isin(classes) & F.col("c_to").isin(classes)))

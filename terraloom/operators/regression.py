@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .spatial import knn
+from ..session import kept, ship_package
+from .spatial import knn, within
+
+#: Points that one call solves at a time, as stacked systems.
+POINTS = 1024
 
 
 def gram(df: DataFrame, y: str, xs: list[str]) -> tuple[np.ndarray, int]:
@@ -44,30 +47,98 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "term string, coefficient double, std_error double, t double, vif double, r2 double, adj_r2 double, aic double, n long")
 
 
-def gwr(points: DataFrame, y: str, xs: list[str], k: int, radius: float) -> DataFrame:
-    """Local fits by bisquare weights of the k nearest points (the k-th is at the bandwidth), searched from a radius on.
+def local_fits(x: np.ndarray, y: np.ndarray, w: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Weighted fits of stacked neighbourhoods: x (m, k, p), y and w (m, k), own (m, p) the points themselves, of weight 1.
+
+    Coefficients, local R2, fitted value and the point's own share of it, each of m. Singular systems take the least solution.
+    """
+    xtw = np.swapaxes(x, 1, 2) * w[:, None, :]
+    a, b = xtw @ x, (xtw @ y[:, :, None])[:, :, 0]
+    inverse = np.linalg.pinv(a, hermitian=True)
+    try:
+        good = np.linalg.cond(a) < 1e12
+        inverse[good] = np.linalg.inv(a[good])
+    except np.linalg.LinAlgError:
+        pass
+    beta = (inverse @ b[:, :, None])[:, :, 0]
+    off = y - (x @ beta[:, :, None])[:, :, 0]
+    total = w.sum(1)
+    mean = np.divide((w * y).sum(1), total, out=np.zeros(len(y)), where=total > 0)
+    sst = (w * (y - mean[:, None]) ** 2).sum(1)
+    r2 = np.where(sst > 1e-12, 1 - np.divide((w * off**2).sum(1), sst, out=np.ones(len(y)), where=sst > 1e-12), 0.0)
+    return beta, r2, (own * beta).sum(1), np.einsum("mp,mpq,mq->m", own, inverse, own)
+
+
+def gwr(points: DataFrame, y: str, xs: list[str], k: int, radius: float, kernel: str = "adaptive") -> DataFrame:
+    """Local fits: id, b0, b1, ..., local_r2, fitted, residual, leverage for each of points(id, x, y, ...).
 
-    points(id, x, y, ...). Each point's neighbourhood, k rows, is one small group; returns coefficients, local R2, fitted.
+    adaptive: bisquare weights up to the k-th nearest other point, which is at the bandwidth; the search begins within
+    `radius`. fixed: Gaussian weights of bandwidth `radius`, points beyond 8 of which (weights under 1e-13) are left out.
+    Neighbourhoods are joined by key and solved POINTS at a time.
     """
     ship_package(points.sparkSession)
-    e = knn(points, k + 1, radius, itself=True)
-    d = e.join(points.select(F.col("id").alias("j"), F.col(y).alias("__y"), *(F.col(x).alias(f"__x{n}") for n, x in enumerate(xs))), "j")
-    m = len(xs)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        u = pdf["d"].to_numpy() / max(float(pdf["d"].max()), 1e-12)
-        w = np.where(u < 1, (1 - u**2) ** 2, 0.0)
-        x = np.column_stack([np.ones(len(pdf)), *(pdf[f"__x{n}"].to_numpy(float) for n in range(m))])
-        v = pdf["__y"].to_numpy(float)
-        beta = np.linalg.pinv(x.T @ (x * w[:, None])) @ (x.T @ (w * v))
-        fit_v = x @ beta
-        mean = np.average(v, weights=w) if w.sum() else 0.0
-        sst = float((w * (v - mean) ** 2).sum())
-        r2 = 1 - float((w * (v - fit_v) ** 2).sum()) / sst if sst > 1e-12 else 0.0
-        return pd.DataFrame([[int(pdf["i"].iloc[0]), *beta, r2, fit_v[0]]], columns=["id", "b0", *(f"b{n + 1}" for n in range(m)), "local_r2", "fitted"])
-
-    return d.groupBy("i").applyInPandas(fit, "id long, b0 double, " + "".join(f"b{n + 1} double, " for n in range(m)) + "local_r2 double, fitted double")
+    e = knn(points, k + 1, radius, itself=True) if kernel == "adaptive" else within(points, points, 8 * radius)
+    d = e.join(points.select(F.col("id").alias("j"), F.col(y).cast("double").alias("__y"), *(F.col(x).cast("double").alias(f"__x{n}") for n, x in enumerate(xs))), "j")
+    m, adaptive = len(xs), kernel == "adaptive"
+    names = ["id", *(f"b{n}" for n in range(m + 1)), "local_r2", "fitted", "residual", "leverage"]
+
+    def fit(table: pa.Table) -> pa.Table:
+        i, j, far, v = (table.column(c).to_numpy() for c in ("i", "j", "d", "__y"))
+        order = np.lexsort((j, far, i))
+        i, j, far, v = i[order], j[order], far[order], v[order]
+        ids, first, many = np.unique(i, return_index=True, return_counts=True)
+        wide = int(many.max())
+        place = first[:, None] + np.minimum(np.arange(wide), many[:, None] - 1)
+        there = np.arange(wide) < many[:, None]
+        x = np.stack([np.ones(len(i)), *(table.column(f"__x{n}").to_numpy()[order] for n in range(m))], 1)[place]
+        dist = far[place]
+        if adaptive:
+            u = dist / np.maximum(np.where(there, dist, 0).max(1), 1e-12)[:, None]
+            w = np.where(there & (u < 1), (1 - u**2) ** 2, 0.0)
+        else:
+            w = np.where(there, np.exp(-0.5 * (dist / radius) ** 2), 0.0)
+        me = there & (j[place] == ids[:, None])
+        at = me.argmax(1)
+        own, real = x[np.arange(len(ids)), at], v[place][np.arange(len(ids)), at]
+        beta, r2, fitted, leverage = local_fits(x, v[place], w, own)
+        return pa.table(dict(zip(names, [ids, *beta.T, r2, fitted, real - fitted, leverage], strict=True)))
+
+    buckets = max(1, -(-points.count() // POINTS))
+    schema = "id long, " + ", ".join(f"{n} double" for n in names[1:])
+    return d.groupBy(F.pmod(F.xxhash64("i"), F.lit(buckets)).alias("__bucket")).applyInArrow(lambda t: fit(t), schema)
+
+
+def gwr_fit(local: DataFrame) -> DataFrame:
+    """One row: n, AIC (n ln of the mean squared residual, plus twice the trace), mean and median R2, the trace and its share of n."""
+    g = local.agg(F.count("*").alias("n"), F.sum(F.col("residual") ** 2).alias("sse"), F.sum("leverage").alias("trace"), F.avg("local_r2").alias("mean_r2"), F.median("local_r2").alias("median_r2"))
+    aic = F.when(F.col("sse") > 0, F.col("n") * F.log(F.when(F.col("sse") > 0, F.col("sse")) / F.col("n")) + 2 * F.col("trace"))
+    return g.select("n", aic.alias("aic"), "mean_r2", "median_r2", "trace", F.try_divide("trace", "n").alias("trace_share"))
+
+
+def bandwidths(n: int, p: int, steps: int = 20) -> list[int]:
+    """Numbers of neighbours from p + 3 to 0.8 n in even steps."""
+    return sorted({int(x) for x in np.linspace(p + 3, max(p + 3, int(n * 0.8)), steps)})
+
+
+def bandwidth_search(points: DataFrame, y: str, xs: list[str], radius: float, steps: int = 20, most: int | None = None) -> DataFrame:
+    """bandwidth, aic, mean_r2, trace and whether it is the best, for each of `bandwidths` (up to `most`, if given)."""
+    n = points.count()
+    ks = [k for k in bandwidths(min(n, most or n), len(xs), steps) if k < n]
+    points = kept(points, "gwr-points")
+    out = None
+    for k in ks:
+        row = gwr_fit(gwr(points, y, xs, k, radius)).select(F.lit(k).alias("bandwidth"), "aic", "mean_r2", "trace")
+        out = row if out is None else out.unionByName(row)
+    found = kept(out, "gwr-bandwidths")
+    best = found.agg(F.min_by("bandwidth", "aic").alias("best"))
+    return found.join(F.broadcast(best)).select("bandwidth", "aic", "mean_r2", "trace", (F.col("bandwidth") == F.col("best")).alias("is_best"))  # one row
+
+
+def compared(global_fit: DataFrame, local_fit: DataFrame) -> DataFrame:
+    """The row of `ols` terms against that of `gwr_fit`: gains in R2 and AIC, and which is preferred."""
+    o = global_fit.agg(F.first("r2").alias("ols_r2"), F.first("adj_r2").alias("ols_adj_r2"), F.first("aic").alias("ols_aic"))
+    d = o.join(F.broadcast(local_fit.select(F.col("mean_r2").alias("gwr_mean_r2"), F.col("aic").alias("gwr_aic"))))  # one row each
+    return d.withColumn("r2_improvement", F.col("gwr_mean_r2") - F.col("ols_r2")).withColumn("aic_improvement", F.col("ols_aic") - F.col("gwr_aic")).withColumn("gwr_preferred", F.col("gwr_aic") < F.col("ols_aic"))
 
 
 def summary(local: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,21 +94,26 @@ def getis_ord(points: DataFrame, edges: DataFrame, star: bool = False, binary: b
     return d.select(F.col("i").alias("id"), z.alias("z"))
 
 
-def density(points: DataFrame, factor: float, size: int) -> DataFrame:
-    """Gaussian kernel density on size x size nodes of the bounding box (a parameter: nodes are broadcast, points stream by).
+def density(points: DataFrame, factor: float, size: int, reach: float = 8.5) -> DataFrame:
+    """Gaussian kernel density on size x size nodes of the bounding box.
 
-    The kernel's covariance is that of the points (sample) times factor squared.
+    The kernel's covariance is that of the points (sample) times factor squared. Points meet the nodes within `reach`
+    deviations along both axes, by the squares that they lie in; beyond, a kernel is under 1e-15 of its height.
     """
-    g = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("cv"), F.count("*").alias("n"))
-    t = F.lit(float(max(1, size - 1)))
-    nodes = points.sparkSession.range(size * size).select((F.col("id") % size).alias("gx"), F.expr(f"id div {size}").alias("gy")).join(F.broadcast(g))
-    nodes = nodes.withColumn("px", F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("gx") / t).withColumn("py", F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("gy") / t)
-    f2 = factor * factor
-    det = (F.col("vx") * F.col("vy") - F.col("cv") * F.col("cv")) * f2 * f2
-    dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-    q = (F.col("vy") * f2 * dx * dx - 2 * F.col("cv") * f2 * dx * dy + F.col("vx") * f2 * dy * dy) / det
-    d = points.select("x", "y").join(F.broadcast(nodes))
-    return d.groupBy("gx", "gy").agg((F.sum(F.exp(-0.5 * q)) / F.first("n") / (2 * 3.141592653589793 * F.sqrt(F.first(det)))).alias("density"))
+    g = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("cv"), F.count("*").alias("n")).first()
+    nodes = points.sparkSession.range(size * size).select((F.col("id") % size).alias("gx"), F.expr(f"id div {size}").alias("gy"))
+    if not g["n"] or g["n"] < 2 or not (g["vx"] and g["vy"]) or g["vx"] * g["vy"] <= g["cv"] ** 2:
+        return nodes.withColumn("density", F.lit(0.0))
+    f2, step = factor * factor, max(1, size - 1)
+    vx, vy, cv = g["vx"] * f2, g["vy"] * f2, g["cv"] * f2
+    det = vx * vy - cv * cv
+    wide, high = (g["x1"] - g["x0"]) / step, (g["y1"] - g["y0"]) / step
+    cols = [F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(c) - lo - reach * v**0.5) / w)), F.least(F.lit(size - 1), F.floor((F.col(c) - lo + reach * v**0.5) / w)))) for c, lo, v, w in (("x", g["x0"], vx, wide), ("y", g["y0"], vy, high))]
+    near = points.select("x", "y").withColumn("gx", cols[0]).withColumn("gy", cols[1])
+    dx, dy = F.lit(g["x0"]) + wide * F.col("gx") - F.col("x"), F.lit(g["y0"]) + high * F.col("gy") - F.col("y")
+    q = (vy * dx * dx - 2 * cv * dx * dy + vx * dy * dy) / det
+    d = near.groupBy("gx", "gy").agg((F.sum(F.exp(-0.5 * q)) / g["n"] / (2 * 3.141592653589793 * det**0.5)).alias("density"))
+    return nodes.join(d, ["gx", "gy"], "left").select("gx", "gy", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def nearest_distance(points: DataFrame, features: DataFrame, radius: float) -> DataFrame:
@@ -142,3 +149,83 @@ def zonal(points: DataFrame, zones: DataFrame, side: float) -> DataFrame:
     p = points.withColumn("__i", F.floor(F.col("x") / side)).withColumn("__j", F.floor(F.col("y") / side))
     inside = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax")) & in_ring(F.col("x"), F.col("y"), F.col("ring"))
     return p.join(z, ["__i", "__j"]).filter(inside).drop("__i", "__j", "ring", "xmin", "ymin", "xmax", "ymax")
+
+
+def ring_centroid(ring: Column) -> Column:
+    """Centre of mass of a closed ring as a struct<x,y>; null for a ring without area."""
+    steps = F.sequence(F.lit(0), F.size(ring) - 2)
+    cross = lambda k: ring[k]["x"] * ring[k + 1]["y"] - ring[k + 1]["x"] * ring[k]["y"]
+    part = lambda c: F.aggregate(steps, F.lit(0.0), lambda a, k: a + (ring[k][c] + ring[k + 1][c]) * cross(k))
+    area = ring_area(ring)
+    return F.when(area != 0, F.struct(F.try_divide(part("x"), 6 * area).alias("x"), F.try_divide(part("y"), 6 * area).alias("y")))
+
+
+def ring_bounds(ring: Column) -> Column:
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+
+
+def closed(ring: Column) -> Column:
+    """A ring whose last point is its first, without points that repeat the one before."""
+    distinct = F.filter(ring, lambda p, k: (k == 0) | (p != F.get(ring, k - 1)))
+    return F.when(distinct[0] == F.element_at(distinct, -1), distinct).otherwise(F.concat(distinct, F.slice(distinct, 1, 1)))
+
+
+def overlapping(features: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Features (xmin, ymin, xmax, ymax) whose boxes meet a box: comparisons that reach the scan."""
+    return features.filter((F.col("xmin") <= box[2]) & (F.col("xmax") >= box[0]) & (F.col("ymin") <= box[3]) & (F.col("ymax") >= box[1]))
+
+
+def outside(points: DataFrame, box: tuple[float, float, float, float], x: str = "x", y: str = "y") -> DataFrame:
+    """Points that are not in a box: what is left of a region when a test strip is taken out."""
+    return points.filter(~(F.col(x).between(box[0], box[2]) & F.col(y).between(box[1], box[3])))
+
+
+def sampled(points: DataFrame, raster: DataFrame, origin: tuple[float, float], pixel: tuple[float, float], bands: Sequence[str]) -> DataFrame:
+    """points(x, y, ...) with the bands of the raster's (row, col) that holds each: an equi-join on the cell.
+
+    origin is the raster's upper left corner, pixel its width and height. Points where a band is masked, or that lie outside,
+    are left out.
+    """
+    at = points.withColumn("__col", F.floor((F.col("x") - origin[0]) / pixel[0])).withColumn("__row", F.floor((origin[1] - F.col("y")) / pixel[1]))
+    r = raster.select(F.col("row").cast("long").alias("__row"), F.col("col").cast("long").alias("__col"), *bands).dropna(subset=list(bands))
+    return at.join(r, ["__row", "__col"]).drop("__row", "__col")
+
+
+def touched(zones: DataFrame, pixel: float) -> DataFrame:
+    """zone_id with each (row, col) of a grid of squares, from (0, 0) on, that a zone's ring touches or holds.
+
+    A square is touched if its centre is in the ring, a corner of the ring is in it, or an edge of the ring crosses one of its
+    sides' lines within it. Squares come from the zone's box.
+    """
+    z = zones.withColumn("col", F.explode(F.sequence(F.floor(F.col("xmin") / pixel), F.floor(F.col("xmax") / pixel)))).withColumn("row", F.explode(F.sequence(F.floor(F.col("ymin") / pixel), F.floor(F.col("ymax") / pixel))))
+    x0, y0 = F.col("col") * pixel, F.col("row") * pixel
+    ring = F.col("ring")
+    edge = lambda k: _crosses(ring[k]["x"], ring[k]["y"], ring[k + 1]["x"], ring[k + 1]["y"], x0, y0, x0 + pixel, y0 + pixel)
+    hit = in_ring(x0 + pixel / 2, y0 + pixel / 2, ring) | F.exists(F.sequence(F.lit(0), F.size(ring) - 2), edge)
+    return z.filter(hit).select("zone_id", "row", "col")
+
+
+def _crosses(ax: Column, ay: Column, bx: Column, by: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a segment meets a box: the shares of it within the box along x and along y overlap (clipping by parameters)."""
+    def span(a: Column, b: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+        s, t = F.try_divide(lo - a, b - a), F.try_divide(hi - a, b - a)
+        inside = (a >= lo) & (a <= hi)
+        return F.coalesce(F.least(s, t), F.when(inside, F.lit(0.0)).otherwise(F.lit(2.0))), F.coalesce(F.greatest(s, t), F.when(inside, F.lit(1.0)).otherwise(F.lit(-1.0)))
+
+    (sx, tx), (sy, ty) = span(ax, bx, x0, x1), span(ay, by, y0, y1)
+    return F.greatest(sx, sy, F.lit(0.0)) <= F.least(tx, ty, F.lit(1.0))
+
+
+def buffer_mean(points: DataFrame, others: DataFrame, radius: float, values: Sequence[str]) -> DataFrame:
+    """Means of the values of `others` within a radius of each point, 0 where there are none."""
+    e = within(points, others, radius).join(others.select(F.col("id").alias("j"), *values), "j")
+    g = e.groupBy("i").agg(*(F.avg(v).alias(v) for v in values))
+    return points.select("id").join(g, F.col("id") == F.col("i"), "left").select("id", *(F.coalesce(v, F.lit(0.0)).alias(v) for v in values))
+
+
+def paired(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
+    """The n-th row of one sample with the n-th of the other, up to the shorter: for samples, since each is numbered in one task."""
+    one = a.withColumn("__n", F.row_number().over(Window.orderBy(order_a)))
+    two = b.withColumn("__n", F.row_number().over(Window.orderBy(order_b)))
+    return one.join(two, "__n").drop("__n")

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import accuracy, change, markov, sampling
+from ..session import kept
 from .common import query, rounded, table
 
 FIRST, LAST, YEARS = (1995, 1996), (1999, 2000), 4.0
 
 
+def _within(years: tuple[int, int]):
+    """Orders of some years, by bounds that reach the scan."""
+    return (F.col("o_orderdate") >= F.make_date(F.lit(years[0]), F.lit(1), F.lit(1))) & (F.col("o_orderdate") < F.make_date(F.lit(years[1] + 1), F.lit(1), F.lit(1)))
+
+
+def _by_period(spark: SparkSession, d: str, **periods: tuple[int, int]) -> DataFrame:
+    o = table(spark, d, "orders")
+    some = functools.reduce(operator.or_, (_within(y) for y in periods.values()))
+    o = o.filter(some).select("o_custkey", "o_orderdate", F.substring("o_orderpriority", 1, 1).cast("int").alias("class_id"), "o_totalprice")
+    return change.dominant_by_period(o, "o_custkey", "class_id", "o_totalprice", {k: _within(y) for k, y in periods.items()})
+
+
 def units(spark: SparkSession, d: str, years: tuple[int, int]) -> DataFrame:
-    o = table(spark, d, "orders").filter(F.year("o_orderdate").between(*years)).select("o_custkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("class_id"), "o_totalprice")
-    area = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("area"))
-    return change.dominant_class(o, ["o_custkey"], "class_id").join(area, "o_custkey")
+    return _by_period(spark, d, only=years).select("o_custkey", F.col("class_only").alias("class_id"), F.col("area_only").alias("area"))
 
 
 def _units_sql(name: str, years: tuple[int, int]) -> str:
@@ -29,15 +43,17 @@ PROB = MATRIX + ",\n  t AS (SELECT c_from, c_to, n / sum(n) OVER (PARTITION BY c
 
 
 def _matrix(spark, d):
-    return change.transitions(units(spark, d, FIRST), units(spark, d, LAST), "o_custkey", "class_id", "area")
+    both = _by_period(spark, d, a=FIRST, b=LAST).filter("class_a IS NOT NULL AND class_b IS NOT NULL")
+    return both.groupBy(F.col("class_a").alias("c_from"), F.col("class_b").alias("c_to")).agg(F.sum("area_a").alias("area"), F.count("*").alias("n"))
 
 
 def _prob(spark, d):
-    return change.probabilities(_matrix(spark, d)).select("c_from", "c_to", "prob")
+    """Written once, since projections join it at every step; a row for each two classes."""
+    return kept(change.probabilities(_matrix(spark, d)).select("c_from", "c_to", "prob"), "probabilities")
 
 
 def _areas(spark, d, years):
-    return change.class_areas(units(spark, d, years), "class_id", "area")
+    return kept(change.class_areas(units(spark, d, years), "class_id", "area"), "areas")
 
 
 @query(MATRIX + " SELECT c_from, c_to, round(area, 2) AS area, n, round(n / sum(n) OVER (PARTITION BY c_from), 6) AS prob FROM m")
@@ -166,13 +182,45 @@ def qd_ad(spark: SparkSession, d: str) -> DataFrame:
     return rounded(accuracy.disagreement(confusion_matrix(spark, d)))
 
 
+def _mapped(spark, d):
+    return table(spark, d, "documents").groupBy((F.col("n_chars") >= 1500).cast("int").alias("class_id")).agg(F.sum("n_chars").cast("double").alias("area"))
+
+
 @query(LABELLED + """, a AS (SELECT (n_chars >= 1500)::INTEGER AS pred, sum(n_chars)::DOUBLE AS area FROM documents GROUP BY 1), w AS (SELECT pred, area / sum(area) OVER () AS w, sum(area) OVER () AS t FROM a),
   p AS (SELECT *, n / sum(n) OVER (PARTITION BY pred) AS p, sum(n) OVER (PARTITION BY pred) AS ni FROM c JOIN w USING (pred)),
-  g AS (SELECT ref, sum(w * p) * any_value(t) AS x, sqrt(sum(w * w * p * (1 - p) / (ni - 1))) * any_value(t) AS se FROM p GROUP BY ref)
-  SELECT ref AS class_id, round(x, 3) AS adjusted_area, round(se, 3) AS area_se, round(x - 1.96 * se, 3) AS ci_low, round(x + 1.96 * se, 3) AS ci_high FROM g""")
+  g AS (SELECT ref, sum(w * p) AS q, sqrt(sum(w * w * p * (1 - p) / (ni - 1))) AS s, any_value(t) AS t FROM p GROUP BY ref),
+  o AS (SELECT ref, p AS u, w, ni FROM p WHERE ref = pred)
+  SELECT ref AS class_id, round(q * t, 3) AS adjusted_area, round(s * t, 3) AS area_se, round(q * t - 1.96 * s * t, 3) AS ci_low, round(q * t + 1.96 * s * t, 3) AS ci_high,
+    round(u, 3) AS users, round(sqrt(u * (1 - u) / (ni - 1)), 3) AS users_se, round(w * u / q, 3) AS producers, round(s / q, 3) AS producers_se FROM g JOIN o USING (ref)""")
 def olofsson_area(spark: SparkSession, d: str) -> DataFrame:
-    mapped = table(spark, d, "documents").groupBy((F.col("n_chars") >= 1500).cast("int").alias("class_id")).agg(F.sum("n_chars").cast("double").alias("area"))
-    return rounded(accuracy.olofsson(confusion_matrix(spark, d), mapped), 3)
+    return rounded(accuracy.olofsson(confusion_matrix(spark, d), _mapped(spark, d)), 3)
+
+
+@query(LABELLED + """, a AS (SELECT (n_chars >= 1500)::INTEGER AS pred, sum(n_chars)::DOUBLE AS area FROM documents GROUP BY 1), w AS (SELECT pred, area / sum(area) OVER () AS w FROM a),
+  p AS (SELECT *, n / sum(n) OVER (PARTITION BY pred) AS p, sum(n) OVER (PARTITION BY pred) AS ni FROM c JOIN w USING (pred)),
+  m AS (SELECT ref, pred, w * p AS p, CASE WHEN ref = pred THEN w * w * p * (1 - p) / (ni - 1) END AS v FROM p),
+  r2 AS (SELECT ref AS k, sum(p) AS r FROM m GROUP BY 1), q2 AS (SELECT pred AS k, sum(p) AS q FROM m GROUP BY 1), h2 AS (SELECT ref AS k, p AS h FROM m WHERE ref = pred),
+  j AS (SELECT * FROM r2 JOIN q2 USING (k) JOIN h2 USING (k))
+  SELECT round(sum(h), 6) AS oa, round((SELECT sqrt(sum(v)) FROM m), 6) AS oa_se, round(sum(abs(r - q)) / 2, 6) AS qd, round(sum(least(r - h, q - h)), 6) AS ad FROM j""")
+def olofsson_overall(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy and disagreement weighed by the map: their sum is one."""
+    m, mapped = confusion_matrix(spark, d), _mapped(spark, d)
+    one = accuracy.olofsson_overall(m, mapped).join(accuracy.disagreement(m, mapped))  # one row each
+    return rounded(one.select("oa", "oa_se", "qd", "ad"))
+
+
+STRATA = "WITH l AS (SELECT lang, c_ref AS ref, c_pred AS pred, count(*) AS n FROM (SELECT lang, n_chars % 7 AS c_ref, CASE WHEN doc_id % 10 < 7 THEN n_chars % 7 ELSE doc_id % 7 END AS c_pred FROM documents WHERE lang IS NOT NULL) GROUP BY ALL)"
+
+
+@query(STRATA + """, m AS (SELECT lang, CASE WHEN ref = 6 THEN 3 ELSE ref END AS ref, pred, n FROM l), s AS (SELECT lang, ref, pred, sum(n)::DOUBLE AS n FROM m WHERE ref IN (1, 2, 3, 5) AND pred IN (1, 2, 3, 5) GROUP BY ALL),
+  p AS (SELECT *, n / sum(n) OVER (PARTITION BY lang, pred) AS p, sum(n) OVER (PARTITION BY lang, pred) AS ni, 1 / 4.0::DOUBLE AS w FROM s)
+  SELECT lang, ref AS class_id, round(sum(w * p) * 400, 4) AS adjusted_area, round(sqrt(sum(CASE WHEN ni > 1 THEN w * w * p * (1 - p) / (ni - 1) ELSE 0 END)) * 400, 4) AS area_se FROM p GROUP BY lang, ref""")
+def olofsson_periods(spark: SparkSession, d: str) -> DataFrame:
+    """A language is a period: seven classes, of which four are strata and one is merged; every stratum maps 100 hectares."""
+    c = table(spark, d, "documents").filter("lang IS NOT NULL").select("lang", (F.col("n_chars") % 7).cast("long").alias("ref"), F.when(F.col("doc_id") % 10 < 7, F.col("n_chars") % 7).otherwise(F.col("doc_id") % 7).cast("long").alias("pred"))
+    matrix = accuracy.strata(accuracy.confusion(c, "ref", "pred", ["lang"]), [1, 2, 3, 5], {6: 3}, ["lang"])
+    mapped = c.select("lang").distinct().withColumn("class_id", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 2, 3, 5))))).withColumn("area", F.lit(100.0))
+    return rounded(accuracy.olofsson(matrix, mapped, ["lang"]).filter("adjusted_area > 0").select("lang", "class_id", "adjusted_area", "area_se"), 4)
 
 
 DRAW = "(('0x' || substr(md5('42' || {0}), 1, 7))::BIGINT / 268435456.0)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bands as B
-from ..functions.dims import CARBON
+from ..functions.dims import CARBON, COVER, EXTERNAL, HABITAT, KC, RECHARGE, SENSITIVITY, sql_case
 from ..operators import composite, ecosystem, trend
 from .common import query, rounded, table
 
@@ -37,26 +37,40 @@ def coverage_fraction(spark: SparkSession, d: str) -> DataFrame:
     return rounded(composite.coverage(o, ["cell_id"], "blue"))
 
 
-_AVG = "avg({0}) AS {0}"
+#: Means are kept to 8 digits, so that the order of summation does not show where an index has its pole.
+_AVG = "round(avg({0}), 8) AS {0}"
 COMP = OBS + ", c AS (SELECT cell_id, " + ", ".join(_AVG.format(b) for b in ("blue", "green", "red", "nir", "swir1", "swir2")) + " FROM o GROUP BY 1)"
 
 
 def _mean_bands(spark, d):
     names = ("blue", "green", "red", "nir", "swir1", "swir2")
-    return _obs(spark, d).groupBy("cell_id").agg(*(F.avg(b).alias(b) for b in names))
+    return _obs(spark, d).groupBy("cell_id").agg(*(F.round(F.avg(b), 8).alias(b) for b in names))
 
 
 @query(COMP + """ SELECT cell_id, round((nir - red) / (nir + red), 5) AS ndvi, round((green - nir) / (green + nir), 5) AS ndwi, round((swir1 - nir) / (swir1 + nir), 5) AS ndbi, round((nir - swir2) / (nir + swir2), 5) AS nbr, round((green - swir1) / (green + swir1), 5) AS mndwi,
-  round((swir1 + red - nir - blue) / (swir1 + red + nir + blue), 5) AS bsi, round(1.5 * (nir - red) / (nir + red + 0.5), 5) AS savi FROM c""")
+  round((swir1 + red - nir - blue) / (swir1 + red + nir + blue), 5) AS bsi, round(1.5 * (nir - red) / (nir + red + 0.5), 5) AS savi,
+  round(2.5 * (nir - red) / nullif(nir + 6 * red - 7.5 * blue + 1, 0), 4) AS evi FROM c""")
 def spectral_indices(spark: SparkSession, d: str) -> DataFrame:
     c = _mean_bands(spark, d)
     every = B.indices(*(F.col(b) for b in ("blue", "green", "red", "nir", "swir1", "swir2")))
-    return rounded(c.select("cell_id", *(x.alias(k) for k, x in every.items() if k != "evi")), 5)
+    return rounded(c.select("cell_id", *(x.alias(k) for k, x in every.items() if k != "evi"), F.round(every["evi"], 4).alias("evi")), 5)
 
 
-@query(COMP + " SELECT cell_id, round(2.5 * (nir - red) / nullif(nir + 6 * red - 7.5 * blue + 1, 0), 4) AS evi FROM c WHERE abs(nir + 6 * red - 7.5 * blue + 1) > 0.05")
+@query(COMP + " SELECT cell_id, round((nir - red) / (nir + red + 0.0001), 5) AS ndvi, round((green - nir) / (green + nir + 0.0001), 5) AS ndwi, round((swir1 - nir) / (swir1 + nir + 0.0001), 5) AS ndbi, round((nir - swir2) / (nir + swir2 + 0.0001), 5) AS nbr FROM c")
+def guarded_indices(spark: SparkSession, d: str) -> DataFrame:
+    c = _mean_bands(spark, d)
+    return rounded(c.select("cell_id", *(x.alias(k) for k, x in B.guarded_indices(*(F.col(b) for b in ("green", "red", "nir", "swir1", "swir2"))).items())), 5)
+
+
+@query(OBS + " SELECT qa, count(*) AS n, count(CASE WHEN blue > 0.25 AND isfinite(nir) THEN 1 END) AS bright FROM o WHERE qa NOT IN (3, 8, 9, 10, 11) GROUP BY qa")
+def scene_class_filter(spark: SparkSession, d: str) -> DataFrame:
+    o = _obs(spark, d).filter(B.clear_scene(F.col("qa")))
+    return o.groupBy("qa").agg(F.count("*").alias("n"), F.count_if((F.col("blue") > 0.25) & B.finite(F.col("nir"))).alias("bright"))
+
+
+@query(COMP + " SELECT cell_id, round(2.5 * (nir - red) / nullif(nir + 6 * red - 7.5 * blue + 1, 0), 4) AS evi FROM c")
 def evi(spark: SparkSession, d: str) -> DataFrame:
-    """Every cell; null only where the denominator is zero. The SQL leaves out the cells within 0.05 of that."""
+    """Every cell; null only where the denominator is zero."""
     c = _mean_bands(spark, d)
     return rounded(c.select("cell_id", B.indices(*(F.col(b) for b in ("blue", "green", "red", "nir", "swir1", "swir2")))["evi"].alias("evi")), 4)
 
@@ -106,13 +120,12 @@ def priority_reclass(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", B.priority([((p >= 1200) & (p < 1500), 2), (p >= 1500, 1), (s > 40, 6), (s > 45, 5)], 3).alias("class_id"))
 
 
-@query("SELECT CASE p_size WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 8 WHEN 9 THEN 2 WHEN 15 THEN 3 WHEN 24 THEN 6 WHEN 33 THEN 5 END AS class_id, count(*) AS n FROM part WHERE p_size IN (3, 4, 5, 9, 15, 24, 33) GROUP BY 1")
+@query("SELECT CASE p_size " + " ".join(f"WHEN {k} THEN {v}" for k, v in EXTERNAL.items()) + " END AS class_id, count(*) AS n FROM part GROUP BY 1 HAVING class_id IS NOT NULL")
 def remap(spark: SparkSession, d: str) -> DataFrame:
-    codes = {3: 1, 4: 2, 5: 8, 9: 2, 15: 3, 24: 6, 33: 5}
-    return table(spark, d, "part").groupBy(B.remapped(F.col("p_size"), codes).alias("class_id")).agg(F.count("*").alias("n")).filter("class_id IS NOT NULL")
+    return table(spark, d, "part").groupBy(B.remapped(F.col("p_size"), EXTERNAL).alias("class_id")).agg(F.count("*").alias("n")).filter("class_id IS NOT NULL")
 
 
-_DENSITY = "CASE {0} " + " ".join(f"WHEN {k} THEN {v}" for k, v in CARBON.items()) + " ELSE 0 END"
+_DENSITY = sql_case("{0}", CARBON)
 
 
 def _cells(spark, d):
@@ -155,10 +168,7 @@ def carbon_change_uncertainty(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ecosystem.change_uncertainty(_uncertain(spark, d), "period"), 1)
 
 
-# Crop coefficient and recharge share by class.
-KC, RECHARGE = {1: 1.0, 2: 0.95, 3: 0.75, 4: 0.85, 5: 1.05, 6: 0.3, 7: 0.2, 8: 1.0}, {1: 0.35, 2: 0.3, 3: 0.2, 4: 0.15, 5: 0.6, 6: 0.05, 7: 0.1, 8: 0.4}
-_KC = "CASE c " + " ".join(f"WHEN {k} THEN {v}::DOUBLE" for k, v in KC.items()) + " END"
-_RE = "CASE c " + " ".join(f"WHEN {k} THEN {v}::DOUBLE" for k, v in RECHARGE.items()) + " END"
+_KC, _RE = sql_case("c", KC), sql_case("c", RECHARGE)
 
 
 @query(f"WITH l AS (SELECT l_linenumber % 8 + 1 AS c, l_extendedprice AS p, CASE WHEN l_quantity > 5 THEN l_quantity * 10 END AS et FROM lineitem) SELECT c AS class_id, round(avg(p - coalesce(et, 0.4 * p) * {_KC}), 4) AS water_yield, round(avg(p * {_RE}), 4) AS baseflow FROM l GROUP BY c")
@@ -168,15 +178,16 @@ def water_yield(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(c.alias("class_id")).agg(F.round(F.avg(y), 4).alias("water_yield"), F.round(F.avg(p * B.class_value(c, RECHARGE)), 4).alias("baseflow"))
 
 
-@query("SELECT p_brand, round(avg((0.065 * p_size + 0.045) * (0.065 * p_size) * CASE WHEN p_size % 8 + 1 IN (1, 2, 8) THEN 0.003 ELSE 0.2 END), 6) AS sediment FROM part GROUP BY 1")
+@query("SELECT p_brand, round(avg((0.065 * p_size + 0.045) * (0.065 * p_size) * " + sql_case("p_size % 8 + 1", COVER) + "), 6) AS sediment FROM part GROUP BY 1")
 def sediment(spark: SparkSession, d: str) -> DataFrame:
-    c = F.when((F.col("p_size") % 8 + 1).isin(1, 2, 8), 0.003).otherwise(0.2)
+    c = B.class_value(F.col("p_size") % 8 + 1, COVER)
     return table(spark, d, "part").groupBy("p_brand").agg(F.round(F.avg(ecosystem.sediment(F.col("p_size"), c)), 6).alias("sediment"))
 
 
-@query("SELECT p_partkey, round(0.8 * (1 - t / (t + power(0.5, 2.5))), 6) AS quality FROM (SELECT p_partkey, power((0.6 * exp(-p_retailprice / 5000) + 0.3 * exp(-p_size * 100 / 10000.0) + 0.1 * exp(-p_size * 10 / 3000.0)) * 0.7, 2.5) AS t FROM part)")
+@query("SELECT p_partkey, round(h * (1 - t / (t + power(0.5, 2.5))), 6) AS quality FROM (SELECT p_partkey, " + sql_case("p_size % 8 + 1", HABITAT) + " AS h, power((0.6 * exp(-p_retailprice / 5000) + 0.3 * exp(-p_size * 100 / 10000.0) + 0.1 * exp(-p_size * 10 / 3000.0)) * " + sql_case("p_size % 8 + 1", SENSITIVITY) + ", 2.5) AS t FROM part)")
 def habitat_quality(spark: SparkSession, d: str) -> DataFrame:
-    q = ecosystem.habitat(F.lit(0.8), F.lit(0.7), F.col("p_retailprice"), F.col("p_size") * 100, F.col("p_size") * 10)
+    c = F.col("p_size") % 8 + 1
+    q = ecosystem.habitat(B.class_value(c, HABITAT), B.class_value(c, SENSITIVITY), F.col("p_retailprice"), F.col("p_size") * 100, F.col("p_size") * 10)
     return rounded(table(spark, d, "part").select("p_partkey", q.alias("quality")))
 
 

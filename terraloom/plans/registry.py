@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import land_change, observations, space_and_text  # noqa: F401
+from . import indicators, land_change, observations, space_and_text  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401

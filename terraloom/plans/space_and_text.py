@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bands as B
 from ..functions import bibliography as bib
-from ..functions.dims import CARBON
-from ..operators import focal, learning, markov, quality, regression, sampling, spatial, zonal
+from ..functions.dims import CARBON, sql_case
+from ..operators import focal, learning, markov, quality, regression, reports, sampling, spatial, zonal
+from ..session import kept
 from ..sources import documents as src
 from ..streaming import series as stream
 from . import land_change
@@ -25,11 +24,12 @@ def _points(spark, d):
 
 
 POINTS = f"""WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label::DOUBLE AS value FROM embeddings),
+ f AS (SELECT a.id AS i, b.id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.id <> b.id),
  e AS (SELECT a.id AS i, b.id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.id <> b.id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {RADIUS}),
  w AS (SELECT i, j, d, 1.0::DOUBLE / count(*) OVER (PARTITION BY i) AS w FROM e)"""
 
 
-@query(POINTS + " SELECT i, j, rank FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j)::INTEGER AS rank FROM e) WHERE rank <= 5")
+@query(POINTS + " SELECT i, j, rank FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j)::INTEGER AS rank FROM f) WHERE rank <= 5")
 def knn(spark: SparkSession, d: str) -> DataFrame:
     return spatial.knn(_points(spark, d), 5, RADIUS).select("i", "j", "rank")
 
@@ -65,14 +65,14 @@ def kde_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spatial.density(_points(spark, d), 0.5, 10), 5)
 
 
-@query(POINTS + " SELECT a.id, round(CASE WHEN a.value = 3 THEN 0 ELSE m END, 6) AS distance FROM p a LEFT JOIN (SELECT i, min(d) AS m FROM e JOIN p ON p.id = j AND p.value = 3 GROUP BY i) ON i = a.id")
+@query(POINTS + " SELECT a.id, round(CASE WHEN a.value = 3 THEN 0 ELSE m END, 6) AS distance FROM p a LEFT JOIN (SELECT i, min(d) AS m FROM f JOIN p ON p.id = j AND p.value = 3 GROUP BY i) ON i = a.id")
 def distance_to_class(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d)
     return rounded(spatial.nearest_distance(p, p.filter("value = 3"), RADIUS))
 
 
-TARGETS = POINTS + f""", q AS (SELECT a.id AS i, b.value, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) AS r
- FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {RADIUS})"""
+TARGETS = POINTS + """, q AS (SELECT a.id AS i, b.value, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) AS r
+ FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0)"""
 
 
 @query(TARGETS + " SELECT i AS id, value FROM q WHERE r = 1")
@@ -98,7 +98,7 @@ def zonal_polygons(spark: SparkSession, d: str) -> DataFrame:
 
 
 ZONES = "WITH z AS (SELECT n_name AS zone, c_custkey % 8 + 1 AS class_id, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"
-_D = "CASE class_id " + " ".join(f"WHEN {k} THEN {v}" for k, v in CARBON.items()) + " END"
+_D = sql_case("class_id", CARBON)
 
 
 def _zones(spark, d):
@@ -167,18 +167,47 @@ def vif(spark: SparkSession, d: str) -> DataFrame:
     return m.filter("vif IS NOT NULL").select("term", F.round("vif", 5).alias("vif"))
 
 
-@query()
+#: Fits of one regressor in closed form, weighted by the eleven nearest others (the eleventh is at the bandwidth) and the point itself.
+GWR = POINTS + """, u AS (SELECT vec_id AS id, embedding[3]::DOUBLE AS u FROM embeddings),
+ n AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM f), b AS (SELECT i, d AS bw FROM n WHERE r = 11),
+ k AS (SELECT i, j, (1 - (d / bw) ** 2) ** 2 AS w FROM n JOIN b USING (i) WHERE r < 11 UNION ALL SELECT i, i, 1.0 FROM b),
+ v AS (SELECT k.*, u, value AS y FROM k JOIN u ON u.id = j JOIN p ON p.id = j),
+ m AS (SELECT i, sum(w) AS s, sum(w * u) / sum(w) AS mu, sum(w * y) / sum(w) AS my FROM v GROUP BY i),
+ c AS (SELECT i, sum(w * (u - mu) * (y - my)) / sum(w * (u - mu) ** 2) AS b1, any_value(my) AS my, any_value(mu) AS mu, any_value(s) AS s, sum(w * (u - mu) ** 2) AS xx, sum(w * (y - my) ** 2) AS yy FROM v JOIN m USING (i) GROUP BY i),
+ g AS (SELECT c.i AS id, my - b1 * mu AS b0, b1, CASE WHEN yy > 1e-12 THEN b1 * b1 * xx / yy ELSE 0 END AS local_r2, my + b1 * (u.u - mu) AS fitted, p.value - my - b1 * (u.u - mu) AS residual, 1 / s + (u.u - mu) ** 2 / xx AS leverage FROM c JOIN u ON u.id = c.i JOIN p ON p.id = c.i)"""
+
+
+def _regressed(spark, d):
+    return _points(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[2].cast("double").alias("u")), "id")
+
+
+@query(GWR + " SELECT id, round(b0, 4) AS b0, round(b1, 4) AS b1, round(local_r2, 4) AS local_r2, round(fitted, 4) AS fitted, round(residual, 4) AS residual, round(leverage, 4) AS leverage FROM g")
 def gwr(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[2].cast("double").alias("u")), "id")
-    return regression.gwr(p, "value", ["u"], 11, 2 * RADIUS)
+    return rounded(regression.gwr(_regressed(spark, d), "value", ["u"], 11, 2 * RADIUS), 4)
 
 
-@query()
+@query(GWR + ", t AS (SELECT 'b0' AS term, b0 AS b FROM g UNION ALL SELECT 'b1', b1 FROM g) SELECT term, round(avg(b), 3) AS mean, round(median(b), 3) AS median, round(stddev_pop(b), 3) AS std, round(min(b), 3) AS low, round(max(b), 3) AS high, round(avg((b > 0)::INTEGER) * 100, 3) AS pct_positive, round(avg((b < 0)::INTEGER) * 100, 3) AS pct_negative FROM t GROUP BY term")
 def gwr_summary(spark: SparkSession, d: str) -> DataFrame:
-    return regression.summary(gwr(spark, d), ["b0", "b1"])
+    return rounded(regression.summary(regression.gwr(_regressed(spark, d), "value", ["u"], 11, 2 * RADIUS), ["b0", "b1"]), 3)
+
 
+@query(GWR + """, o AS (SELECT regr_r2(y, u) AS r2, count(*) AS n, regr_syy(y, u) AS syy FROM (SELECT p.value AS y, u.u FROM p JOIN u USING (id))),
+ l AS (SELECT count(*) * ln(sum(residual ** 2) / count(*)) + 2 * sum(leverage) AS aic, avg(local_r2) AS mean_r2 FROM g)
+ SELECT round(r2, 4) AS ols_r2, round(n * ln((1 - r2) * syy / n) + 4, 2) AS ols_aic, round(mean_r2, 4) AS gwr_mean_r2, round(aic, 2) AS gwr_aic, aic < n * ln((1 - r2) * syy / n) + 4 AS gwr_preferred FROM o, l""")
+def ols_against_gwr(spark: SparkSession, d: str) -> DataFrame:
+    p = kept(_regressed(spark, d), "regressed")
+    c = regression.compared(regression.ols(p, "value", ["u"]), regression.gwr_fit(regression.gwr(p, "value", ["u"], 11, 2 * RADIUS)))
+    return c.select(F.round("ols_r2", 4).alias("ols_r2"), F.round("ols_aic", 2).alias("ols_aic"), F.round("gwr_mean_r2", 4).alias("gwr_mean_r2"), F.round("gwr_aic", 2).alias("gwr_aic"), "gwr_preferred")
 
-TERMS = ("licensed", "copyright", "schö", "thereof", "anhand")
+
+@query()
+def gwr_bandwidth(spark: SparkSession, d: str) -> DataFrame:
+    """Five bandwidths up to 60 neighbours. SQL can't iterate fits; the tests compare them with plain numpy."""
+    return rounded(regression.bandwidth_search(_regressed(spark, d), "value", ["u"], 2 * RADIUS, 5, 75), 4)
+
+
+#: The published terms, and some that the tables hold.
+TERMS = (*bib.TERMS, "licensed", "copyright", "schö", "thereof", "anhand")
 
 
 @query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{t}')" for t in TERMS))
@@ -186,13 +215,44 @@ def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(bib.relevant(TERMS, F.col("text"))).select("doc_id")
 
 
-@query("SELECT p_partkey, regexp_replace(split_part(upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)), ' ', 1), '[^A-Za-z]', '', 'g') || p_size AS k FROM part")
-def citation_key(spark: SparkSession, d: str) -> DataFrame:
+def _records(spark, d):
+    """A part is a record: its name gives the authors, its maker the journal, its type the title, its size the year."""
     p = table(spark, d, "part")
-    return p.select("p_partkey", F.concat(bib.first_author(F.split("p_name", " ")[0]), F.col("p_size").cast("string")).alias("k"))
+    kinds = F.array(*(F.lit(k) for k in KINDS))
+    return p.select(
+        "p_partkey", F.regexp_replace(F.concat_ws("; ", F.concat("p_name", F.lit(", A. É.")), F.col("p_brand")), "l", "ł").alias("authors"),
+        F.concat(F.lit("The "), F.regexp_replace("p_type", "E", "É"), F.lit(" & of "), F.col("p_name")).alias("title"), (F.col("p_size") + 1970).cast("string").alias("year"),
+        F.col("p_brand").alias("source title"), F.col("p_type").alias("author keywords"), F.element_at(kinds, (F.col("p_size") % len(KINDS) + 1).cast("int")).alias("document type"),
+        F.col("p_size").cast("string").alias("page start"), (F.col("p_size") + F.col("p_partkey") % 2).cast("string").alias("page end"), F.lit("").alias("art. no."), F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("10.1/"), "p_partkey")).alias("doi"), (F.col("p_partkey") % 40).cast("string").alias("cited by"))
+
 
+KINDS = ("Article", "Review", " conference paper", "Book Chapter", "Editorial", "Note", "")
+_CAP = "upper(substr({0}, 1, 1)) || lower(substr({0}, 2))"
+RECORDS = r"""WITH r AS (SELECT p_partkey, replace(p_name || ', A. É.; ' || p_brand, 'l', 'ł') AS authors, 'The ' || replace(p_type, 'E', 'É') || ' & of ' || p_name AS title, (p_size + 1970)::VARCHAR AS year, p_brand AS journal, p_type AS keywords,
+  ['Article', 'Review', ' conference paper', 'Book Chapter', 'Editorial', 'Note', ''][(p_size % 7 + 1)::INTEGER] AS kind, p_size::VARCHAR AS s, (p_size + p_partkey % 2)::VARCHAR AS e, CASE WHEN p_partkey % 3 > 0 THEN '10.1/' || p_partkey ELSE '' END AS doi, p_partkey % 40 AS cited FROM part),
+ k AS (SELECT *, regexp_replace(array_to_string(list_transform(regexp_split_to_array(strip_accents(replace(split_part(split_part(authors, ';', 1), ',', 1), 'ł', '_')), '[\s\-]+'), lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))), ''), '[^A-Za-z]', '', 'g') AS who,
+   list_filter(regexp_extract_all(strip_accents(title), '[A-Za-z]+'), lambda w: lower(w) NOT IN ('the', 'of'))[1] AS word, replace(title, '&', '\&') AS t FROM r),
+ q AS (SELECT *, CASE WHEN who = '' THEN 'Unknown' ELSE who END || year || upper(substr(word, 1, 1)) || lower(substr(word, 2)) AS key, CASE lower(trim(kind)) WHEN 'conference paper' THEN 'inproceedings' WHEN 'book chapter' THEN 'incollection' ELSE 'article' END AS type, CASE WHEN s = e THEN s ELSE s || '--' || e END AS pages FROM k)"""
 
-@query("SELECT c_custkey, CASE WHEN r > 1 THEN c_mktsegment || c_nationkey || chr((95 + r)::INTEGER) ELSE c_mktsegment || c_nationkey END AS k FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS r FROM customer)")
+
+@query(RECORDS + " SELECT p_partkey, key AS k FROM q")
+def citation_key(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("p_partkey", bib.citation_key(F.col("authors"), F.col("year"), F.col("title")).alias("k"))
+
+
+@query(RECORDS + """ SELECT p_partkey, '@' || type || '{' || key || ',' || chr(10) || '  author      = {' || replace(authors, '; ', ' and ') || '},' || chr(10) || '  title       = {{' || t || '}},' || chr(10)
+  || CASE type WHEN 'inproceedings' THEN '  booktitle   = {' ELSE '  journal     = {' END || journal || '},' || chr(10) || '  year        = {' || year || '},' || chr(10) || '  pages       = {' || pages || '},' || chr(10)
+  || CASE WHEN doi <> '' THEN '  doi         = {' || doi || '},' || chr(10) ELSE '' END || '  keywords    = {' || keywords || '},' || chr(10) || '}' AS entry
+  FROM q WHERE NOT (lower(trim(kind)) IN ('review', 'conference paper') AND cited <= 20)""")
+def bibtex_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records that aren't excluded, as BibTeX."""
+    r = _records(spark, d)
+    r = r.filter(~bib.excluded(F.col("document type"), F.col("cited by")))
+    key = bib.citation_key(F.col("authors"), F.col("year"), F.col("title"))
+    return r.select("p_partkey", bib.rendered(bib.record_fields(r.columns), key).alias("entry"))
+
+
+@query("SELECT c_custkey, CASE WHEN r > 1 THEN c_mktsegment || c_nationkey || CASE WHEN r > 27 THEN chr((97 + (r - 28) // 26)::INTEGER) ELSE '' END || chr((97 + (r - 2) % 26)::INTEGER) ELSE c_mktsegment || c_nationkey END AS k FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS r FROM customer)")
 def dedup_key(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("k"))
     return quality.suffixed(c, "k", ["c_custkey"])
@@ -218,11 +278,34 @@ def scene_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rf_classify(spark: SparkSession, d: str) -> DataFrame:
-    e = sampling.split(table(spark, d, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(8))), "vec_id")
-    got, _ = learning.random_forest(e.filter("is_training"), e.filter("NOT is_training"), "label", [f"f{k}" for k in range(8)])
+    """200 trees over all of the vector's numbers; trained on the 70 percent that the split draws."""
+    e, names = _vectors(spark, d)
+    e = sampling.split(e, "vec_id")
+    got, _ = learning.random_forest(e.filter("is_training"), e.filter("NOT is_training"), "label", names)
     return got.select("vec_id", "label", "predicted", "confidence")
 
 
+def _vectors(spark, d):
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(n))), [f"f{k}" for k in range(n)]
+
+
+@query()
+def spatial_cv(spark: SparkSession, d: str) -> DataFrame:
+    """Five strips along the first number; 50 trees, so that the five forests take about as long as the one above."""
+    e, names = _vectors(spark, d)
+    return learning.spatial_cv(e, "vec_id", "f0", "label", names, trees=50)
+
+
+@query()
+def importance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Two forests, of rows with even and odd ids: their features side by side."""
+    e, names = _vectors(spark, d)
+    runs = {run: learning.random_forest(e.filter(cond), e.limit(0), "label", names, trees=20)[1] for run, cond in (("even", "vec_id % 2 = 0"), ("odd", "vec_id % 2 = 1"))}
+    return reports.importance_matrix(learning.importance_table(spark, runs), ["even", "odd"])
+
+
 @query()
 def disturbance(spark: SparkSession, d: str) -> DataFrame:
     y = table(spark, d, "orders").groupBy(F.col("o_custkey"), F.year("o_orderdate").alias("t")).agg(F.avg("o_totalprice").alias("v"))
@@ -249,12 +332,9 @@ def _events(spark, d):
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:
-    """The daily series as a stream over the file source; complete output keeps the last windows."""
-    name = f"daily_{abs(hash(d))}"
-    out = stream.tumbling(_events(spark, d), "1 day", "event_type")
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+    """The daily series as a stream over the file source, its state and result in the shared folder."""
+    found = stream.run_to_end(stream.tumbling(_events(spark, d), "1 day", "event_type"), "daily")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("""WITH s AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new FROM events),
@@ -263,8 +343,3 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     s = stream.sessions(e, "6 hours", "user_id")
     return s.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "user_id", "n", F.round("total", 2).alias("total"))
-
-
-def scratch() -> str:
-    """A folder for a local stream's state."""
-    return tempfile.mkdtemp(prefix="terraloom-")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -38,17 +39,19 @@ def session(master: str | None = None, partitions: int = 8, **conf: str) -> Spar
     return b.getOrCreate()
 
 
-def kept(df, name: str):
-    """Writes df to the folder that the cluster names in spark.checkpoint.dir and reads it back; cuts the lineage."""
-    import uuid
-
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder where the cluster names one in spark.checkpoint.dir; where it is unset, as in tests, in an own one."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:  # one machine, as in tests
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="terraloom-"))
         folder = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

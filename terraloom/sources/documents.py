@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,3 +54,45 @@ def write_report(df: DataFrame, path: str, form: str = "parquet") -> None:
     """parquet, json or csv (with a header)."""
     w = df.write.mode("overwrite")
     {"parquet": w.parquet, "json": w.json, "csv": w.option("header", True).csv}[form](path)
+
+
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Text files, a row each: path and value."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+
+
+def occurrences(texts: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
+    """By file, how often each pattern occurs."""
+    parts = F.array(*(F.struct(F.lit(k).alias("pattern"), F.regexp_count("value", F.lit(p)).alias("n")) for k, p in patterns.items()))
+    return texts.select("path", F.inline(parts))
+
+
+def image(spark: SparkSession, path: str, bands: Sequence[str]) -> DataFrame:
+    """A static raster kept as Parquet cells: row, col and the bands; other columns aren't read."""
+    return spark.read.parquet(path).select("row", "col", *bands)
+
+
+def feature_collection(spark: SparkSession, path: str, columns: Sequence[str], **equal: object) -> DataFrame:
+    """Features kept as Parquet, by the values of some columns (one value, or a list of them), which reach the scan."""
+    d = spark.read.parquet(path)
+    for c, v in equal.items():
+        d = d.filter(F.col(c).isin(*v) if isinstance(v, (list, tuple)) else F.col(c) == v)
+    return d.select(*columns)
+
+
+def with_properties(df: DataFrame, **values: object) -> DataFrame:
+    """df with constant columns, as a collection's images have properties."""
+    return df.withColumns({k: F.lit(v) for k, v in values.items()})
+
+
+def append_text(df: DataFrame, path: str) -> None:
+    """Appends the column `value` to a folder of text files: logs, bibliographies and reports."""
+    df.select("value").write.mode("append").text(path)
+
+
+def report_lines(checked: DataFrame, title: str) -> DataFrame:
+    """A report of checked rules in Markdown, a line a row: counts by status, then every rule."""
+    head = checked.sparkSession.createDataFrame([(0, 0, f"# {title}"), (2, 0, "| rule | severity | status |"), (2, 1, "|-|-|-|")], "part int, n int, value string")
+    counts = checked.groupBy("status").agg(F.count("*").alias("c")).select(F.lit(1).alias("part"), F.lit(0).alias("n"), F.concat(F.lit("- "), "status", F.lit(": "), F.col("c").cast("string")).alias("value"))
+    every = checked.select(F.lit(3).alias("part"), F.lit(0).alias("n"), F.concat(F.lit("| "), "rule", F.lit(" | "), "severity", F.lit(" | "), "status", F.lit(" |")).alias("value"))
+    return head.unionByName(counts).unionByName(every).orderBy("part", "n", "value").select("value")
