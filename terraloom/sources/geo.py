@@ -274,7 +274,7 @@ def _unpackbits(data: bytes) -> bytes:
         else:
             if k > 128:
                 out += data[at + 1 : at + 2] * (257 - k)
-            at += 2
+            at += 2 if k > 128 else 1
     return bytes(out)
 
 

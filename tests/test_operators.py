@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terraloom.functions import bands, bibliography
-from terraloom.operators import accuracy, change, composite, focal, learning, markov, quality, regression, spatial, trend
+from terraloom.operators import accuracy, change, composite, focal, learning, markov, quality, regression, reports, spatial, trend
 from terraloom.sources import documents
 from terraloom.streaming import series
 
@@ -94,7 +95,7 @@ def test_segments_find_a_break():
 def test_records(spark, tmp_path):
     d = spark.createDataFrame([("Pérez-Gómez, J.; Li, W.;", "The forest of & change", " 2020 ", "x")], "a string, t string, y string, c string")
     r = d.select(bibliography.authors(F.col("a")), bibliography.citation_key(F.col("a"), F.col("y"), F.col("t")), bibliography.escaped(F.col("t")), bibliography.cited_by(F.col("c")), bibliography.record_type(F.col("c"))).first()
-    assert tuple(r) == ("Pérez-Gómez, J. and Li, W.", "Perezgomez2020Forest", "The forest of \\& change", 0, "article")
+    assert tuple(r) == ("Pérez-Gómez, J. and Li, W.", "PerezGomez2020Forest", "The forest of \\& change", 0, "article")
     (tmp_path / "b.bib").write_text("@article{Key1,\n DOI = {10.1/ABC},\n}\n@book{k2, title={x}}")
     assert sorted(map(tuple, documents.bibtex_keys(spark, str(tmp_path / "b.bib")).collect())) == [("doi", "10.1/abc"), ("key", "Key1"), ("key", "k2")]
     (tmp_path / "r.csv").write_text("﻿ Title ,YEAR\n\"a\nb\",2020\n", encoding="utf-8")
@@ -117,3 +118,153 @@ def test_late_rows_are_dropped(spark, tmp_path):
     s = series.tumbling(series.event_stream(spark, str(tmp_path / "in"), schema), "1 day", "user_id")
     got = {str(r["start"])[:10]: r["total"] for r in series.run_to_end(s, "daily", str(tmp_path)).collect()}
     assert got["2024-01-01"] == 1.0 and got["2024-01-03"] == 2.0
+
+
+def test_record_functions_as_published(spark):
+    b = bibliography
+    d = spark.createDataFrame([("Šćepanović  Ő-ngström, Ć.", "Évaluation & <of> Ünder forêts", "5", "5", " Note ")], "a string, t string, s string, e string, k string")
+    r = d.select(b.strip_accents(F.col("a")), b.first_author(F.col("a")), b.title_word(F.col("t")), b.pages(F.col("s"), F.col("e"), F.lit("9")), b.record_type(F.col("k")), b.pages(F.lit(""), F.lit(None), F.lit("e12")), b.pages(F.lit("1"), F.lit("9"), F.lit("")), b.first_author(F.lit(None)), b.title_word(F.lit("of the")), b.title_word(F.lit(""))).first()
+    assert tuple(r) == ("Scepanovic  O-ngstrom, C.", "ScepanovicONgstrom", "Evaluation", "5", "article", "e12", "1--9", "Unknown", "Of", "Untitled")
+    row = {"authors": "A, B.; C", "title": "x & \\& y", "year": "2020", "source title": "J", "document type": "Conference Paper", "page start": "1", "page end": "2", "cited by": "21", "doi": "10.1/X"}
+    d = spark.createDataFrame([tuple(row.values())], ", ".join(f"`{k}` string" for k in row))
+    want = "@inproceedings{k,\n  author      = {A, B. and C},\n  title       = {{x \\& \\& y}},\n  booktitle   = {J},\n  year        = {2020},\n  pages       = {1--2},\n  doi         = {10.1/X},\n}"
+    assert d.select(b.rendered(b.record_fields(d.columns), F.lit("k"))).first()[0] == want
+    kinds = [("Review", "20"), ("review ", "21"), ("Conference Paper", "x"), ("Article", "0"), (None, None)]
+    assert [r[0] for r in spark.createDataFrame(kinds, "k string, c string").select(b.excluded(F.col("k"), F.col("c"))).collect()] == [True, False, True, False, False]
+    assert [r[0] for r in spark.createDataFrame([("Deep GEE",), ("nothing",), (None,)], "t string").select(b.relevant(b.TERMS, F.col("t"))).collect()] == [True, False, False]
+
+
+def test_keys_become_unique(spark):
+    keys = ["k", "k", "ka"] + ["hot"] * 800 + ["x"] * 30 + ["xa"] * 3
+    d = spark.createDataFrame([(n, k) for n, k in enumerate(keys)], "id int, k string").repartition(3)
+    known = spark.createDataFrame([("x",), ("hotb",)], "k string")
+    got = {r["id"]: r["k"] for r in quality.suffixed(d, "k", ["id"], known).collect()}
+    assert len(set(got.values())) == len(keys) and not set(got.values()) & {"x", "hotb"}
+    assert [got[k] for k in range(6)] == ["k", "kb", "ka", "hot", "hota", "hotc"] and got[803] == "xb"
+    assert all(got[n].startswith(k) for n, k in enumerate(keys))
+    assert [r[0] for r in spark.createDataFrame([(0,), (25,), (26,), (701,), (702,)], "n long").select(quality.letters(F.col("n"))).collect()] == ["a", "z", "aa", "zz", "aaa"]
+
+
+def test_rules_with_any_name(spark):
+    d = spark.createDataFrame([(1.0,)], "x double")
+    got = quality.check(d, [("it's", "ERROR", F.min("x") > 0), ('a "b"', "WARN", F.min("x") > 5), ("null", "WARN", F.min(F.lit(None)) > 5)])
+    assert [tuple(r) for r in got.collect()] == [("it's", "ERROR", True, "PASS"), ('a "b"', "WARN", False, "WARN"), ("null", "WARN", False, "WARN")]
+    lines = [r[0] for r in documents.report_lines(got, "Checks").collect()]
+    assert lines[0] == "# Checks" and "- PASS: 1" in lines and "| it's | ERROR | PASS |" in lines
+
+
+def test_published_rules(spark):
+    ok = spark.createDataFrame([("a", 0.7, 0.6, 5, 4), ("b", 1.0, -1.0, 1, 1)], "period string, overall_accuracy double, kappa double, n_training int, n_validation int")
+    assert {r["status"] for r in quality.check(ok, quality.accuracy_rules()).collect()} == {"PASS"}
+    model = spark.createDataFrame([(11.0, 0.2, 0.1, 5.0, 6.0)], "vif double, ols_r2 double, gwr_r2 double, ols_aic double, gwr_aic double")
+    assert [r["status"] for r in quality.check(model, quality.model_rules()).collect()] == ["WARNING", "PASS", "ERROR", "ERROR"]
+    services = spark.createDataFrame([(1, 9.0, 10.0, 0.5), (2, 8.0, 9000.0, 0.4)], "period int, carbon double, water_yield double, quality double")
+    assert [r["status"] for r in quality.check(services, quality.service_rules()).collect()] == ["PASS", "ERROR", "PASS", "PASS"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 30_000])
+def test_percentiles_are_numpys(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.where(rng.random(n) < 0.3, 5.0, rng.normal(size=n).round(3))
+    d = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(4)
+    shares = [0.0, 0.02, 0.1, 0.5, 0.9, 0.98, 1.0]
+    assert np.allclose(composite.percentiles(d, "x", shares), np.quantile(x, shares))
+    assert composite.percentiles(d.filter("false"), "x", [0.5]) == [None]
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_patches_across_tiles(spark, diagonal):
+    rng = np.random.default_rng(7)
+    grid = rng.integers(0, 2, (23, 31))
+    cells = [(r, c, int(grid[r, c])) for r in range(23) for c in range(31) if (r * 31 + c) % 17]
+    got = {(r["row"], r["col"]): r["patch"] for r in focal.patches(spark.createDataFrame(cells, "row int, col int, k int"), "k", diagonal, tile=5).collect()}
+    value, root = {(r, c): k for r, c, k in cells}, {}
+    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
+    for p in sorted(value):
+        if p in root:
+            continue
+        root[p], stack = p[0] * (1 << 31) + p[1], [p]
+        while stack:
+            q = stack.pop()
+            for dr, dc in steps:
+                o = (q[0] + dr, q[1] + dc)
+                if value.get(o) == value[q] and o not in root:
+                    root[o] = root[p]
+                    stack.append(o)
+    assert got == root
+
+
+def test_bandwidths_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    n = 60
+    xy, u = rng.random((n, 2)), rng.normal(size=(n, 2))
+    y = 1 + u @ [2, -1] + xy[:, 0] * u[:, 0] + rng.normal(size=n) * 0.1
+    d = spark.createDataFrame([(k, *map(float, (*xy[k], *u[k], y[k]))) for k in range(n)], "id long, x double, y double, p double, q double, v double")
+    got = {r["bandwidth"]: r for r in regression.bandwidth_search(d, "v", ["p", "q"], 0.3, 4).collect()}
+    far = np.hypot(*(xy[:, None] - xy).transpose(2, 0, 1))
+    x = np.column_stack([np.ones(n), u])
+
+    def plain(weights):
+        off, trace = 0.0, 0.0
+        for i in range(n):
+            w = weights(far[i])
+            a = np.linalg.inv(x.T @ (x * w[:, None]))
+            off += (y[i] - x[i] @ a @ (x.T @ (w * y))) ** 2
+            trace += x[i] @ a @ x[i]
+        return n * np.log(off / n) + 2 * trace, trace
+
+    want = {k: plain(lambda f, k=k: np.where(f / np.sort(f)[k] <= 1, (1 - (f / np.sort(f)[k]) ** 2) ** 2, 0.0)) for k in sorted({int(b) for b in np.linspace(5, 48, 4)})}
+    assert got.keys() == want.keys() and all(abs(got[k]["aic"] - a) < 1e-6 and abs(got[k]["trace"] - t) < 1e-8 for k, (a, t) in want.items())
+    assert [k for k, r in got.items() if r["is_best"]] == [min(want, key=lambda k: want[k][0])]
+    fixed = regression.gwr_fit(regression.gwr(d, "v", ["p", "q"], 0, 0.4, "fixed")).first()
+    assert abs(fixed["aic"] - plain(lambda f: np.exp(-0.5 * (f / 0.4) ** 2))[0]) < 1e-6
+
+
+def test_touched_squares(spark):
+    ring = [(0.2, 0.2), (3.7, 0.4), (0.3, 1.6), (0.2, 0.2)]
+    z = spark.createDataFrame([(1, 0.2, 0.2, 3.7, 1.6, ring)], "zone_id int, xmin double, ymin double, xmax double, ymax double, ring array<struct<x:double,y:double>>")
+    got = {(r["row"], r["col"]) for r in spatial.touched(z, 1.0).collect()}
+    hit = set()
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        for t in np.linspace(0, 1, 20001):
+            hit.add((int(ay + t * (by - ay)), int(ax + t * (bx - ax))))
+    assert got == hit
+
+
+def test_samples_by_position_and_shares(spark):
+    a = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "i int, x string")
+    b = spark.createDataFrame([(10, "p"), (20, "q")], "k int, y string")
+    assert sorted((r["x"], r["y"]) for r in spatial.paired(a, b, "i", "k").collect()) == [("a", "p"), ("b", "q")]
+    assert reports.enough(a, 2) and not reports.enough(a, 3)
+    top = learning.importance_table(spark, {"r": [("f", 0.1), ("g", 0.7), ("h", 0.2)]})
+    assert [r["feature"] for r in reports.top_features(top, 2).orderBy("rank").collect()] == ["g", "h"]
+    assert abs(spark.range(1).select(reports.carbon_ci(F.lit(100.0))).first()[0] - 100 * 0.167 * 1.96) < 1e-12
+
+
+def test_sliding_windows(spark):
+    d = spark.createDataFrame([("2024-01-01 00:10:00", 1, 1.0), ("2024-01-01 00:50:00", 1, 2.0)], "ts string, u int, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {str(r["start"])[11:16]: r["total"] for r in series.sliding(d, "1 hour", "30 minutes", "u").collect()}
+    assert got == {"23:30": 1.0, "00:00": 3.0, "00:30": 2.0}
+
+
+def test_fallbacks_and_dimensions(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from terraloom.functions import dims
+
+    a = spark.createDataFrame([(1,), (2,)], "k int")
+    b = spark.createDataFrame([(1, 0.5)], "k int, v double")
+    assert {r["k"]: r["v"] for r in documents.with_fallback(a, b, "k", "v", 9.0).collect()} == {1: 0.5, 2: 9.0}
+    assert documents.optional(spark, str(tmp_path / "none"), T.StructType([T.StructField("x", T.IntegerType())])).count() == 0
+    c = {r["class_id"]: r for r in dims.classes(spark).collect()}
+    assert c[1]["carbon"] == 281.0 and c[8]["carbon"] == 247.0 and abs(c[1]["carbon_se"] - (400 + 100 + 225 + 36) ** 0.5) < 1e-12 and dims.municipalities(spark).count() == 15
+    (tmp_path / "d.json").write_text('{"a": {"b": [1, 2]}}')
+    assert documents.json_document(spark, str(tmp_path / "d.json")).select("a.b").first()[0] == [1, 2]
+    for form in ("json", "csv"):
+        documents.write_report(b, str(tmp_path / form), form)
+    assert spark.read.json(str(tmp_path / "json")).first()["v"] == 0.5
+    (tmp_path / "m.tex").write_text("TODO one \\cite{x} TODO")
+    assert {r["pattern"]: r["n"] for r in documents.occurrences(documents.whole_texts(spark, str(tmp_path / "m.tex")), {"todo": "TODO", "cite": r"\\cite"}).collect()} == {"todo": 2, "cite": 1}
+    documents.append_text(spark.createDataFrame([("x",)], "value string"), str(tmp_path / "log"))
+    documents.append_text(spark.createDataFrame([("y",)], "value string"), str(tmp_path / "log"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "log")).collect()) == ["x", "y"]

@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def _plain(x):
     if x is None or isinstance(x, float) and math.isnan(x):
         return None
-    return round(x, 4) + 0.0 if isinstance(x, float) else x if isinstance(x, (int, bool)) else str(x)[:19].removesuffix(" 00:00:00")
+    return round(x, 4) + 0.0 if isinstance(x, float) else x if isinstance(x, (int, bool)) else x if isinstance(x, str) else str(x)[:19].removesuffix(" 00:00:00")
 
 
 @pytest.fixture(scope="module")
