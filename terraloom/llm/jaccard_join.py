@@ -21,8 +21,6 @@ SHINGLE, HUNDREDTHS = 3, 90
 BAND = 1.15
 #: Classes of one signature that a task compares with each other by sketches; more are compared block by block.
 BLOCK = 1024
-#: Rounds in which each class meets one other of its signature before all that aren't joined meet.
-ROUNDS = 2
 #: Weight of an expected false candidate against a signature, in the cost of an allocation.
 CANDIDATE_COST = 4.0
 #: Rows drawn to find common shingles, and the most common shingles that workers are told.
@@ -356,37 +354,28 @@ def _met(rest: DataFrame, classes: DataFrame, hundredths: int) -> DataFrame:
 def linked(signed: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, hundredths: int) -> DataFrame:
     """Components (node, root) of the links between classes' ids; candidates are verified pair by pair.
 
-    classes(id, class, check, n, sketch, said, first); signed(sig, class). In each of ROUNDS, a class meets one of those of
-    its signature, another for each signature and round, that is not joined to it yet: as many pairs as signatures. After
-    that, all pairs that share a signature and are not joined yet meet in blocks.
+    classes(id, class, check, n, sketch, said, first); signed(sig, class). First each class meets one of those of its
+    signature, another for each signature: as many pairs as signatures, and where many are alike they join most. After that,
+    all pairs that share a signature and are not joined yet meet in blocks.
     """
     signed = stored(signed, "jaccard-signed")
     mixed = F.col("class").bitwiseXOR(F.xxhash64("sig"))
-    groups = signed.groupBy("sig").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high"), F.count("*").alias("met")).filter("low <> high").select("sig", "met")
-    shared = looked_up(signed, groups, "sig", "met", signed.count())
-    rest = stored(shared.join(classes.select("class", "id", "n"), "class").select("sig", "id", "n", F.col("id").alias("root"), "met").distinct(), "jaccard-shared")
-    found = seen = rest.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    groups = signed.groupBy("sig").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high"), F.count("*").alias("met")).filter("low <> high")
+    groups = groups.select("sig", F.col("low").bitwiseXOR(F.xxhash64("sig")).alias("hub"), "met")
+    shared = stored(looked_up(signed, groups, "sig", "met", signed.count()), "jaccard-shared")
+    sizes = classes.select("class", "id", "n")
+    ways = shared.filter("class <> hub").select("class", "hub").distinct()
+    ways = ways.join(sizes, "class").join(sizes.select(F.col("class").alias("hub"), F.col("id").alias("hub_id"), F.col("n").alias("hub_n")), "hub")
+    alike = 100 * F.least("n", "hub_n") >= hundredths * F.greatest("n", "hub_n")
+    pairs = stored(ways.filter(alike).select(F.greatest("id", "hub_id").alias("a"), F.least("id", "hub_id").alias("b")).distinct(), "jaccard-pairs")
+    found = verified(pairs, classes, texts, shingle, hundredths)
     roots = components(found)
-    for turn in range(ROUNDS):
-        key = F.col("id").bitwiseXOR(F.xxhash64("sig", F.lit(turn)))
-        hubs = rest.groupBy("sig", "met").agg(F.min(key).alias("low")).select("sig", F.col("low").bitwiseXOR(F.xxhash64("sig", F.lit(turn))).alias("hub"), "met")
-        ways = looked_up(rest.drop("met"), hubs, "sig", "met", rest.count()).filter("id <> hub").select("id", "n", "root", "hub").distinct()
-        own = rest.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root")).distinct()
-        alike = 100 * F.least("n", "hub_n") >= hundredths * F.greatest("n", "hub_n")
-        pairs = ways.join(own, "hub").filter(alike & (F.col("root") != F.col("hub_root"))).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-        pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
-        new = verified(pairs, classes, texts, shingle, hundredths)
-        if new.isEmpty():
-            break
-        found, seen = found.unionByName(new), seen.unionByName(pairs)
-        roots = components(found)
-        now = rest.select("sig", "id", "n").join(roots.withColumnsRenamed({"node": "id", "root": "__root"}), "id", "left").select("sig", "id", "n", F.coalesce("__root", "id").alias("root"))
-        now = stored(now, "jaccard-roots")
-        groups = now.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met")).filter("low <> high").select("sig", "met")
-        rest = stored(looked_up(now, groups, "sig", "met", now.count()), "jaccard-rest")
-    pairs = stored(_met(rest, classes, hundredths).join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
-    new = verified(pairs, classes, texts, shingle, hundredths)
-    return roots if new.isEmpty() else components(found.unionByName(new))
+    named = classes.select("class", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("class", "id", "n", F.coalesce("root", "id").alias("root"))
+    now = stored(shared.select("sig", "class").join(named, "class").select("sig", "id", "n", "root").distinct(), "jaccard-roots")
+    groups = now.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met")).filter("low <> high").select("sig", "met")
+    rest = looked_up(now, groups, "sig", "met", now.count())
+    more = verified(stored(_met(rest, classes, hundredths), "jaccard-pairs"), classes, texts, shingle, hundredths)
+    return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hundredths: int = HUNDREDTHS, prefixes: bool = False, row_col: str | None = None) -> DataFrame:
