@@ -1,4 +1,4 @@
-"""Neighbourhoods of a grid (row, col, value): each cell sends itself to its neighbours, one shuffle by cell."""
+"""Neighbourhoods of a grid (row, col, value): windows and patches by tiles; sides by cells that send themselves to their neighbours."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import kept, ship_package
 
+#: Rows and columns of a tile, which one task labels at a time.
+TILE = 256
+
 
 def _sent(cells: DataFrame, radius: int, value: str) -> DataFrame:
     steps = F.array(*(F.lit(k) for k in range(-radius, radius + 1)))
@@ -16,21 +19,56 @@ def _sent(cells: DataFrame, radius: int, value: str) -> DataFrame:
     return d.select((F.col("row") - F.col("dr")).alias("row"), (F.col("col") - F.col("dc")).alias("col"), "dr", "dc", "v")
 
 
-def _on_grid(sent: DataFrame) -> Column:
-    """True in groups of cells that exist: the cell itself is among its senders."""
-    return F.max(((F.col("dr") == 0) & (F.col("dc") == 0)).cast("int")) == 1
+def _tiled(cells: DataFrame, value: str, radius: int, fn, name: str, kind: str, tile: int) -> DataFrame:
+    """fn of each tile's array with a halo of `radius` cells around it: row, col and the result of the tile's own cells.
+
+    A cell goes to its own tile and to those whose halo it is in, so little more than once; a window of any size costs no
+    more rows. The array holds NaN where there is no cell or no value.
+    """
+    ship_package(cells.sparkSession)
+    d = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("v"))
+    near = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) + k) / tile) for k in (-radius, 0, radius))))
+    d = d.withColumn("tr", F.explode(near("row"))).withColumn("tc", F.explode(near("col")))
+
+    def run(t: pa.Table) -> pa.Table:
+        tr, tc = t.column("tr")[0].as_py() * tile, t.column("tc")[0].as_py() * tile
+        row, col = t.column("row").to_numpy(), t.column("col").to_numpy()
+        x = np.full((tile + 2 * radius, tile + 2 * radius), np.nan)
+        x[row - tr + radius, col - tc + radius] = t.column("v").to_numpy(zero_copy_only=False)
+        own = (row >= tr) & (row < tr + tile) & (col >= tc) & (col < tc + tile)
+        got = fn(x)[row[own] - tr, col[own] - tc]
+        return pa.table({"row": row[own], "col": col[own], name: pa.array(got, mask=np.isnan(got))})
+
+    kinds = dict(cells.dtypes)
+    found = d.groupBy(F.col("tr").alias("__r"), F.col("tc").alias("__c")).applyInArrow(lambda t: run(t), f"row long, col long, {name} double")
+    return found.select(F.col("row").cast(kinds["row"]).alias("row"), F.col("col").cast(kinds["col"]).alias("col"), F.col(name).cast(kind).alias(name))
+
+
+def _box(x: np.ndarray, radius: int) -> np.ndarray:
+    """Sums over the square window of each place that has a whole one."""
+    s = np.zeros((x.shape[0] + 1, x.shape[1] + 1))
+    s[1:, 1:] = x.cumsum(0).cumsum(1)
+    w = 2 * radius + 1
+    return s[w:, w:] - s[:-w, w:] - s[w:, :-w] + s[:-w, :-w]
+
+
+def mode(cells: DataFrame, value: str, radius: int = 1, tile: int = TILE) -> DataFrame:
+    """The most frequent value of the square neighbourhood; of ties the smallest. Nulls don't count; null where all are."""
 
+    def most(x: np.ndarray) -> np.ndarray:
+        out, best = np.full((tile, tile), np.nan), np.zeros((tile, tile))
+        for k in np.unique(x[~np.isnan(x)]):
+            n = _box(x == k, radius)
+            more = n > best
+            out[more], best[more] = k, n[more]
+        return out
 
-def mode(cells: DataFrame, value: str, radius: int = 1) -> DataFrame:
-    """The most frequent value of the square neighbourhood; of ties the smallest."""
-    n = _sent(cells, radius, value).groupBy("row", "col", "v").agg(F.count("*").alias("n"), F.max(((F.col("dr") == 0) & (F.col("dc") == 0)).cast("int")).alias("own"))
-    return n.groupBy("row", "col").agg(F.max_by("v", F.struct(F.col("n"), -F.col("v"))).alias("mode"), F.max("own").alias("own")).filter("own = 1").drop("own")
+    return _tiled(cells, value, radius, most, "mode", dict(cells.dtypes)[value], tile)
 
 
-def mean(cells: DataFrame, value: str, radius: int = 2) -> DataFrame:
-    """Sum over the square divided by its full size: outside counts as zero."""
-    s = _sent(cells, radius, value)
-    return s.groupBy("row", "col").agg((F.sum("v") / float((2 * radius + 1) ** 2)).alias("mean"), _on_grid(s).alias("own")).filter("own").drop("own")
+def mean(cells: DataFrame, value: str, radius: int = 2, tile: int = TILE) -> DataFrame:
+    """Sum over the square divided by its full size: outside and nulls count as zero."""
+    return _tiled(cells, value, radius, lambda x: _box(np.nan_to_num(x), radius) / (2 * radius + 1) ** 2, "mean", "double", tile)
 
 
 def edges(cells: DataFrame, value: str) -> DataFrame:
@@ -53,10 +91,6 @@ def terrain(cells: DataFrame, elevation: str, size: float) -> DataFrame:
     return g.select("row", "col", F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))).alias("slope"), F.pmod(F.degrees(F.atan2(gy, -gx)) + 90, F.lit(360.0)).alias("aspect"))
 
 
-#: Rows and columns of a tile, which one task labels at a time.
-TILE = 256
-
-
 def _labelled(batch: pa.Table, diagonal: bool) -> pa.Table:
     """A tile's cells with the least number of a cell that like cells connect each with."""
     row, col, v, number = (batch.column(c).to_numpy() for c in ("row", "col", "code", "id"))

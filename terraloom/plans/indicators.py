@@ -304,3 +304,16 @@ def regression_table(spark: SparkSession, d: str) -> DataFrame:
 def class_lookup(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("p_size") % 10
     return table(spark, d, "part").select("p_partkey", B.class_value(c, COVER).alias("cover"), B.class_name(c, CLASSES).alias("name"))
+
+
+@query(land_change.PROB + f", r AS (SELECT class_id, coalesce(a1.area, 0) AS x, coalesce(a2.area, 0) AS y FROM a1 FULL JOIN a2 USING (class_id)) SELECT class_id, {_NAME} AS class, round(x, 2) AS area_t1, round(y, 2) AS area_t2, round(y - x, 2) AS net_change, round(CASE WHEN x > 0 THEN (y - x) / x * 100 ELSE 0 END, 2) AS pct_change FROM r WHERE x > 0 OR y > 0")
+def change_rate_table(spark: SparkSession, d: str) -> DataFrame:
+    t = change.change_table(land_change._areas(spark, d, land_change.FIRST), land_change._areas(spark, d, land_change.LAST), "class_id", land_change.YEARS)
+    return rounded(reports.change_rate_table(t).drop("annual_rate_pct"), 2)
+
+
+@query("SELECT p_brand AS zone, floor(p_size / 10.0)::INTEGER AS row, 0 AS col, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 3")
+def gated_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups with more than three rows: statistics need a least number of them."""
+    g = table(spark, d, "part").groupBy(F.col("p_brand").alias("zone"), F.floor(F.col("p_size") / 10.0).cast("int").alias("row"), F.lit(0).alias("col")).agg(F.count("*").alias("n"))
+    return g.filter("n > 3")

@@ -194,6 +194,17 @@ def test_patches_across_tiles(spark, diagonal):
     assert got == root
 
 
+def test_windows_across_tiles(spark):
+    rng = np.random.default_rng(1)
+    grid = rng.integers(0, 4, (17, 19))
+    cells = {(r - 3, c): int(grid[r, c]) for r in range(17) for c in range(19) if (r * 19 + c) % 11}
+    d = spark.createDataFrame([(r, c, k) for (r, c), k in cells.items()], "row int, col int, k int")
+    window = lambda p, n: [cells[r, c] for r in range(p[0] - n, p[0] + n + 1) for c in range(p[1] - n, p[1] + n + 1) if (r, c) in cells]
+    assert {(r["row"], r["col"]): r["mode"] for r in focal.mode(d, "k", 3, tile=4).collect()} == {p: min(set(w := window(p, 3)), key=lambda k: (-w.count(k), k)) for p in cells}
+    got = {(r["row"], r["col"]): r["mean"] for r in focal.mean(d, "k", 2, tile=5).collect()}
+    assert got.keys() == cells.keys() and all(abs(got[p] - sum(window(p, 2)) / 25) < 1e-9 for p in cells)
+
+
 def test_bandwidths_against_numpy(spark):
     rng = np.random.default_rng(3)
     n = 60
