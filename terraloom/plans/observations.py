@@ -56,10 +56,10 @@ def spectral_indices(spark: SparkSession, d: str) -> DataFrame:
     return rounded(c.select("cell_id", *(x.alias(k) for k, x in every.items() if k != "evi"), F.round(every["evi"], 4).alias("evi")), 5)
 
 
-@query(COMP + " SELECT cell_id, round((nir - red) / (nir + red + 0.0001), 5) AS ndvi, round((green - nir) / (green + nir + 0.0001), 5) AS ndwi, round((swir1 - nir) / (swir1 + nir + 0.0001), 5) AS ndbi, round((nir - swir2) / (nir + swir2 + 0.0001), 5) AS nbr FROM c")
+@query(COMP + " SELECT cell_id, round((nir - red) / (nir + red + 0.0001), 7) AS ndvi, round((green - nir) / (green + nir + 0.0001), 7) AS ndwi, round((swir1 - nir) / (swir1 + nir + 0.0001), 7) AS ndbi, round((nir - swir2) / (nir + swir2 + 0.0001), 7) AS nbr FROM c")
 def guarded_indices(spark: SparkSession, d: str) -> DataFrame:
     c = _mean_bands(spark, d)
-    return rounded(c.select("cell_id", *(x.alias(k) for k, x in B.guarded_indices(*(F.col(b) for b in ("green", "red", "nir", "swir1", "swir2"))).items())), 5)
+    return rounded(c.select("cell_id", *(x.alias(k) for k, x in B.guarded_indices(*(F.col(b) for b in ("green", "red", "nir", "swir1", "swir2"))).items())), 7)
 
 
 @query(OBS + " SELECT qa, count(*) AS n, count(CASE WHEN blue > 0.25 AND isfinite(nir) THEN 1 END) AS bright FROM o WHERE qa NOT IN (3, 8, 9, 10, 11) GROUP BY qa")
