@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
+from .trend import normal_p
 
 
 def _squares(df: DataFrame, side: float, reach: int) -> DataFrame:
@@ -63,7 +64,7 @@ def knn(points: DataFrame, k: int, radius: float, targets: DataFrame | None = No
 
 
 def moran(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """I, its expectation and its variance under randomisation (the published formula), z."""
+    """I, its expectation and its variance under randomisation (the published formula), z and its two-sided probability."""
     g = points.agg(F.avg("value").alias("m"), F.count("*").cast("double").alias("n"))
     p = points.join(F.broadcast(g)).withColumn("z", F.col("value") - F.col("m"))
     m = p.agg(F.first("n").alias("n"), F.sum(F.pow("z", F.lit(2))).alias("m2"), F.sum(F.pow("z", F.lit(4))).alias("m4"))
@@ -79,7 +80,8 @@ def moran(points: DataFrame, edges: DataFrame) -> DataFrame:
     a = n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * w * w)
     b = k * ((n * n - n) * s1 - 2 * n * s2 + 6 * w * w)
     var = (a - b) / ((n - 1) * (n - 2) * (n - 3) * w * w) - exp * exp
-    return one.select(i.alias("moran_i"), exp.alias("expected"), var.alias("variance"), ((i - exp) / F.sqrt(var)).alias("z"))
+    z = (i - exp) / F.sqrt(var)
+    return one.select(i.alias("moran_i"), exp.alias("expected"), var.alias("variance"), z.alias("z"), normal_p(z).alias("p"))
 
 
 def getis_ord(points: DataFrame, edges: DataFrame, star: bool = False, binary: bool = True) -> DataFrame:

@@ -233,7 +233,10 @@ def sen_slope(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trend.sen_slope(_yearly(spark, d), ["cell"], "t", "v"), 4)
 
 
-@query(Y + ", p AS (SELECT cell, sum(sign(b.v - a.v))::DOUBLE AS s, count(*) AS n0 FROM y a JOIN y b USING (cell) WHERE a.t < b.t GROUP BY 1), n AS (SELECT cell, count(*) AS n FROM y GROUP BY 1) SELECT cell, s, round(s / n0, 6) AS tau, round((s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0), 6) AS z FROM p JOIN n USING (cell)")
+@query("WITH RECURSIVE " + Y.removeprefix("WITH ") + """, p AS (SELECT cell, sum(sign(b.v - a.v))::DOUBLE AS s, count(*) AS n0 FROM y a JOIN y b USING (cell) WHERE a.t < b.t GROUP BY 1), n AS (SELECT cell, count(*) AS n FROM y GROUP BY 1),
+ o(i, c) AS (SELECT 1::BIGINT, [1::DOUBLE] UNION ALL SELECT i + 1, list_transform(range(0, len(c) + i), lambda k: list_sum(c[greatest(1, k + 1 - i):k + 1])) FROM o WHERE i < 12),
+ q AS (SELECT i AS n, c, list_sum(c) AS total FROM o)
+ SELECT cell, s, round(s / n0, 6) AS tau, round((s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0), 6) AS z, round(least(1, 2 * list_sum(c[1:((n0 - abs(s)) / 2)::BIGINT + 1]) / total), 6) AS p FROM p JOIN n USING (cell) JOIN q USING (n)""")
 def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trend.kendall(_yearly(spark, d), ["cell"], "t", "v"))
 

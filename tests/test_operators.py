@@ -47,6 +47,22 @@ def test_kendall_and_sen_with_a_tie(spark):
     assert abs(trend.sen_slope(d, ["g"], "t", "v").first()["sen_slope"] - np.median(pairs)) < 1e-12
 
 
+def test_kendall_probabilities(spark):
+    import itertools
+
+    got = {(r["n"], r["c"]): r["p"] for r in trend.exact_kendall(spark, 7).collect()}
+    for n in (3, 5, 7):
+        inversions = [sum(a > b for a, b in itertools.combinations(p, 2)) for p in itertools.permutations(range(n))]
+        for c in range(n * (n - 1) // 4 + 1):
+            assert abs(got[n, c] - min(1, 2 * sum(k <= c for k in inversions) / len(inversions))) < 1e-12
+    z = [0.0, 0.5, -1.96, 3.0, 6.0]
+    assert all(abs(r[0] / math.erfc(abs(x) / math.sqrt(2)) - 1) < 2e-7 for r, x in zip(spark.createDataFrame([(x,) for x in z], "z double").select(trend.normal_p(F.col("z"))).collect(), z))
+    tied = [(t, float(t // 2)) for t in range(10)]
+    r = trend.kendall(spark.createDataFrame([("a", t, v) for t, v in tied], "g string, t int, v double"), ["g"], "t", "v").first()
+    assert r["s"] == 40 and abs(r["tau"] - 40 / math.sqrt(45 * 40)) < 1e-12
+    assert abs(r["p"] / math.erfc(40 / math.sqrt((10 * 9 * 25 - 5 * 2 * 9) / 18) / math.sqrt(2)) - 1) < 2e-7
+
+
 def test_zero_denominator_is_null(spark):
     d = spark.createDataFrame([(0.0, 0.0), (1.0, 3.0)], "a double, b double")
     assert [r[0] for r in d.select(bands.ratio(F.col("a"), F.col("b"))).collect()] == [None, -0.5]
