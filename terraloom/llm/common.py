@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,8 +88,21 @@ HOT_SHARE = 0.001
 
 
 def numbered(df: DataFrame, name: str, column: str = "__row") -> DataFrame:
-    """df with a number for each row, written to the shared folder so that the numbers stay with their rows."""
-    return stored(df.withColumn(column, F.monotonically_increasing_id()), name)
+    """df with a number for each row that stays with it.
+
+    Rows read straight from files are told by file and place, which nothing changes; files are numbered by a broadcast of
+    their names, as many as the driver listed. Other rows are numbered and written to the shared folder.
+    """
+    try:
+        rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        return stored(df.withColumn(column, F.monotonically_increasing_id()), name)
+    files = sorted(r[0] for r in rows.select("__file").distinct().collect())
+    if len(files) >= 1 << 22:
+        raise ValueError("more than 2**22 files")
+    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "__n long, __file string")
+    number = F.shiftleft("__n", 40) + F.col("__at")
+    return rows.join(F.broadcast(numbers), "__file").select(*df.columns, number.alias(column))
 
 
 def looked_up(rows: DataFrame, groups: DataFrame, on: str | Sequence[str], size_col: str, total: int) -> DataFrame:

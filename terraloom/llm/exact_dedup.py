@@ -51,8 +51,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row of df for each text, with all its columns: that with the smallest id (nulls last), of ties one.
 
-    A repeated id keeps a row for each text that no smaller id has. Rows are told apart by a number that is written with
-    them to the shared folder, so ids need be neither unique nor set. Null and empty texts are equal; empty table: no rows.
+    A repeated id keeps a row for each text that no smaller id has. Rows are told apart by a number of their own, so ids need
+    be neither unique nor set. Null and empty texts are equal; empty table: no rows.
     """
     every = numbered(df, "dedup-numbered")
     rows = every.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("row"), normalised(F.col(text_col).cast("string")).alias("body"))
