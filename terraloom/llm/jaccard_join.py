@@ -21,6 +21,8 @@ SHINGLE, HUNDREDTHS = 3, 90
 BAND = 1.15
 #: Classes of one signature that a task compares with each other by sketches; more are compared block by block.
 BLOCK = 1024
+#: Smallest signatures of a class that go with it, so that a pair with several in common meets under one.
+LEAST = 8
 #: Weight of an expected false candidate against a signature, in the cost of an allocation.
 CANDIDATE_COST = 4.0
 #: Rows drawn to find common shingles, and the most common shingles that workers are told.
@@ -278,8 +280,11 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     return stored(near.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "da", "db", "ta", "tb").mapInArrow(decide, "a long, b long"), "jaccard-links")
 
 
-def _close(n: np.ndarray, root: np.ndarray, ids: np.ndarray, side: np.ndarray, sketch: list[bytes], hundredths: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block that sizes and sketches allow and that no link joins yet; side: 0 meets 1, and 2 meets itself."""
+def _close(sig: int, n: np.ndarray, root: np.ndarray, ids: np.ndarray, side: np.ndarray, sketch: list[bytes], least: np.ndarray, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block that sizes and sketches allow and that no link joins yet; side: 0 meets 1, and 2 meets itself.
+
+    least: the LEAST smallest signatures of each. A pair that has a smaller one in common there meets under that one.
+    """
     words = np.array([len(s) for s in sketch]) // 8
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for w in np.unique(words):
@@ -303,7 +308,12 @@ def _close(n: np.ndarray, root: np.ndarray, ids: np.ndarray, side: np.ndarray, s
                 i, j = np.nonzero(may)
                 if len(i):
                     near = np.bitwise_count(x[at + i] ^ y[j]).sum(1, dtype=np.int64) <= (n[mine[i]] + n[two[j]]) * (100 - hundredths) // (100 + hundredths)
-                    out.append((ids[mine[i[near]]], ids[two[j[near]]]))
+                    i, j = mine[i[near]], two[j[near]]
+                    for k in range(0, len(i), 1 << 16):
+                        a, b = least[i[k : k + (1 << 16)]], least[j[k : k + (1 << 16)]]
+                        common = (a[:, :, None] == b[:, None, :]).any(2)
+                        here = np.where(common, a, np.iinfo(np.int64).max).min(1) >= sig
+                        out.append((ids[i[k : k + (1 << 16)][here]], ids[j[k : k + (1 << 16)][here]]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -314,22 +324,31 @@ def _met(rest: DataFrame, classes: DataFrame, hundredths: int) -> DataFrame:
     """Pairs (a, b) of classes that share a signature, aren't joined, and that sizes and sketches allow.
 
     rest(sig, id, n, root, met). A signature's classes meet in blocks of BLOCK, each pair of blocks in a task of its own, so
-    a hot signature spreads; a block holds numbers and sketches, not texts, and gives only what the sketches allow.
+    a hot signature spreads; a block holds numbers and sketches, not texts, and gives only what the sketches allow. Of
+    signatures that the same classes have, one is enough. A pair with several signatures in common meets under the least, if
+    that is among the LEAST smallest of both.
     """
+    rest = stored(rest, "jaccard-rest")
+    alike = rest.groupBy("sig", "met").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"), F.min("id").alias("low"), F.max("id").alias("high"))
+    one = alike.groupBy("met", "print", "low", "high").agg(F.min("sig").alias("sig")).select("sig", "met")
+    rest = stored(looked_up(rest.drop("met"), one, "sig", "met", rest.count()), "jaccard-meet")
+    few = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LEAST).alias("least"))  # as many as a set has signatures
+    sketched = classes.select("id", "sketch").join(few, "id")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = rest.withColumn("blocks", F.ceil(F.col("met") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") < F.col("other")).cast("int"))
     rest = rest.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "n", "root", side.alias("side"))
-    rest = rest.join(classes.select("id", "sketch"), "id").repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    rest = rest.join(sketched, "id").repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def pairs(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
             n, root, ids, side = (t.column(c).to_numpy() for c in ("n", "root", "id", "side"))
-            sketch = t.column("sketch").to_pylist()
-            got = [_close(n[i:j], root[i:j], ids[i:j], side[i:j], sketch[i:j], hundredths) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
+            sig, sketch = t.column("sig").to_numpy(), t.column("sketch").to_pylist()
+            least = np.array([x + [np.iinfo(np.int64).max] * (LEAST - len(x)) for x in t.column("least").to_pylist()], np.int64)
+            got = [_close(int(sig[i]), n[i:j], root[i:j], ids[i:j], side[i:j], sketch[i:j], least[i:j], hundredths) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
             both = np.unique(np.stack([np.concatenate([g[k] for g in got] or [np.zeros(0, np.int64)]) for k in (0, 1)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
