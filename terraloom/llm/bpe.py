@@ -33,7 +33,7 @@ BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32)
 LONG = 256
 NO_RANK = np.int32(2**31 - 1)
 #: Distinct matches that a worker remembers; beyond, it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 
 
 @functools.cache

@@ -229,7 +229,8 @@ def _epoch(state: DataFrame, capacity: int, turn: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
                 sizes = np.frombuffer(r["sizes"], "<i4").tolist()
                 elite = _unpacked(r["elite"], sizes) if r["elite"] is not None else None
                 some = evolve(sizes, capacity, [_unpacked(x, sizes) for x in r["population"]], elite, (turn * ISLANDS + r["island"]) * 1_000_003 + r["deme"])
@@ -244,10 +245,13 @@ def _epoch(state: DataFrame, capacity: int, turn: int) -> DataFrame:
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A deme's pieces, longest first, as two blobs."""
     for b in batches:
-        for r in b.to_pylist():
-            pieces = sorted(((p["length"], p["item"]) for p in r["pieces"]), key=lambda p: (-p[0], p[1]))
-            items, sizes = np.array([i for _, i in pieces], "<i8"), np.array([s for s, _ in pieces], "<i4")
-            yield pa.RecordBatch.from_arrays([pa.array([r["deme"]], pa.int64()), pa.array([items.tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary())], ["deme", "items", "sizes"])
+        column, cuts = b.column("pieces"), b.column("pieces").offsets.to_numpy()
+        items, sizes = (column.values.field(c).to_numpy(zero_copy_only=False) for c in ("item", "length"))
+        every = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            order = i + np.lexsort((items[i:j], -sizes[i:j]))
+            every.append((items[order].astype("<i8").tobytes(), sizes[order].astype("<i4").tobytes()))
+        yield pa.RecordBatch.from_arrays([b.column("deme"), *(pa.array([e[k] for e in every], pa.binary()) for k in (0, 1))], ["deme", "items", "sizes"])
 
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY, deme: int = DEME) -> DataFrame:
@@ -261,7 +265,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, deme: int = DEME) ->
     alone has an even one.
     """
     spark = items.sparkSession
-    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = items.filter(F.col("length") == capacity).select("item", (F.col("item") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left, done = items.filter(F.col("length") < capacity), []
     for turn in range(ROUNDS):
@@ -282,7 +286,8 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, deme: int = DEME) ->
 
         def laid(batches: Iterator[pa.RecordBatch], turn: int = turn, last: bool = last) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for r in b.to_pylist():
+                for n in range(b.num_rows):
+                    r = b.slice(n, 1).to_pylist()[0]
                     ids, sizes, rows = np.frombuffer(r["items"], "<i8").tolist(), np.frombuffer(r["sizes"], "<i4").tolist(), []
                     for k, (used, every) in enumerate(_unpacked(r["best"], sizes)):
                         at, number = 0, 2 * ((((turn << 36) + r["deme"]) << 20) + k) + 1
