@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ BLOCK = 1024
 LEAST = 8
 #: Weight of an expected false candidate against a signature, in the cost of an allocation.
 CANDIDATE_COST = 4.0
-#: Rows drawn to find common shingles, and the most common shingles that workers are told.
-SAMPLE, COMMON = 20_000, 200_000
+#: Cells in which all rows' shingles are counted to find common ones, and how many of them are sent together.
+COMMON, TOGETHER = 1 << 21, 1 << 14
 _ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 
 
@@ -145,46 +146,63 @@ class Signatures:
 
 
 class Prefixes:
-    """Signatures of a set: its first shingles in one order of all shingles, those common in a sample last, else by hash.
+    """Signatures of a set: its first shingles in one order of all shingles, those in the fullest cells last, else by hash.
 
     Of linked sets, each has HUNDREDTHS hundredths of its shingles in the other, so the sets meet in these prefixes. Any
     order gives every link; this one keeps a passage that many texts have from making them candidates.
     """
 
-    def __init__(self, hundredths: int, common: np.ndarray, counts: np.ndarray):
-        self.hundredths, self.common, self.counts = hundredths, common, counts
+    def __init__(self, hundredths: int, counts: np.ndarray):
+        self.hundredths, self.counts = hundredths, counts
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
-        if not n:
-            return s
-        often = np.zeros(n, np.int64)
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
-            often = np.where(self.common[at] == s, self.counts[at], 0)
-        return s[np.argsort(often, kind="stable")[: n + 1 - -(-n * self.hundredths // 100)]]
+        often = self.counts[_cells(s, len(self.counts))] if len(self.counts) else np.zeros(n, np.int64)
+        return s[np.argsort(often, kind="stable")[: n + 1 - -(-n * self.hundredths // 100)]] if n else s
 
 
-def _common(texts: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles, sorted, that several of about SAMPLE rows have, and how many; the rarest are left out beyond COMMON."""
+def _cells(shingles: np.ndarray, cells: int) -> np.ndarray:
+    return (shingles % U(cells)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _common(texts: DataFrame, n: int) -> np.ndarray:
+    """How often all rows have the shingles of each of COMMON cells: of a shingle, its rows and those of others of its cell.
+
+    Each task counts in all cells; tasks' counts are added up by TOGETHER cells, packed in as few bytes as the largest needs.
+    """
+    cells, together = COMMON, TOGETHER
+
+    def packed(at: int, counts: np.ndarray) -> tuple[int, bytes]:
+        return at, zlib.compress(counts.astype(np.min_scalar_type(counts.max())).tobytes(), 1)
+
+    def unpacked(data: bytes) -> np.ndarray:
+        raw = zlib.decompress(data)
+        return np.frombuffer(raw, f"u{len(raw) // together}").astype(U)
+
+    def sent(parts: Iterable[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        some = [packed(at, counts) for at, counts in parts if counts.any()]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["at", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((-(-cells // together), together), np.uint32)
         for _, sets in _rows(batches, n):
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
-
-    drawn = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, total // SAMPLE))) == 0)
-    found = stored(drawn.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-common")
-    least, kept = 2, 0
-    for often, shingles in sorted(found.groupBy("n").count().collect(), reverse=True):
-        kept += shingles
-        if kept > COMMON:
-            least = often + 1
-            break
-    t = found.filter(F.col("n") >= least).toArrow()
-    common = t.column("shingle").to_numpy().view(U)
-    order = np.argsort(common)
-    return common[order], t.column("n").to_numpy()[order]
+            for s in sets:
+                np.add.at(held.reshape(-1), _cells(s, cells), np.uint32(1))
+        yield sent(enumerate(held))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, data in zip(b.column("at").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                sums[at] = sums[at] + unpacked(data) if at in sums else unpacked(data)
+        yield sent(sums.items())
+
+    if not cells:
+        return np.zeros(0, np.uint8)
+    out = np.zeros((-(-cells // together), together), U)
+    for r in texts.mapInArrow(count, "at int, counts binary").repartition("at").mapInArrow(add, "at int, counts binary").collect():
+        out[r["at"]] = unpacked(r["counts"])
+    return out.reshape(-1)[:cells].astype(np.min_scalar_type(out.max()))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -403,8 +421,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Shingles are hashed to 64 bits, sets to 128. Rows with one set are a class, which signs once a task. Hashes are cut into
     segments by size band; classes with a common signature (a segment's content, or, where the allocation says so, that
     content less one element) are candidates, which `linked` verifies pair by pair on the sets. With `prefixes`, a set's
-    signatures are its rarest shingles instead, as Prefixes has it: for sets that differ in so much that segments would be
-    short.
+    signatures are its rarest shingles instead, counted over all rows, as Prefixes has it: for sets that differ in so much
+    that segments would be short.
 
     Null, empty and blank texts have no shingles and are alone. Repeated rows and ids are rows of one component where their
     texts are linked. A null id is a component's id only if all its ids are null. Empty table: no rows. Other columns are not
@@ -424,7 +442,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     label = classes.select("class", "check", "copies", F.col("first_doc").alias("component_id"), F.col("id").alias("root"))
     if every:
         if prefixes:
-            signs = Prefixes(hundredths, *_common(texts, shingle, total))
+            signs = Prefixes(hundredths, _common(texts, shingle))
         else:
             lows = [lo for lo, _ in every]
             band = sum((F.col("n") >= lo).cast("int") for lo in lows) - 1

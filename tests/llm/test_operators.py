@@ -456,6 +456,28 @@ def test_prefixes_against_all_pairs(spark, monkeypatch, common, block):
     assert got == five_word_groups(texts) | {1000: 1000, 1001: 1001}
 
 
+def test_all_rows_say_which_shingles_are_rare(spark, monkeypatch):
+    """A passage that 200 of 41,000 rows have, none of them among the half that a draw by hash would take."""
+    passage, own = " ".join(f"p{k}" for k in range(20)), " ".join(f"'a{k}x', doc_id, ' '," for k in range(12))
+    df = spark.range(41_000).selectExpr("id AS doc_id").selectExpr("doc_id", f"concat(if(doc_id % 100 = 0, '{passage} ', ''), {own} 'z') AS text")
+    df = df.filter("doc_id % 100 > 0 OR pmod(xxhash64(doc_id, text), 2) = 1")
+    assert df.count() >= 40_000 and 100 < df.filter("doc_id % 100 = 0").count() < 300
+    text = df.filter("doc_id % 100 = 0").first()["text"].encode()
+
+    class Seen(Exception):
+        pass
+
+    def signed(texts, n, signs):
+        raise Seen(signs)
+
+    monkeypatch.setattr(jaccard_join, "_signatures", signed)
+    with pytest.raises(Seen) as seen:
+        jaccard_join.jaccard_components(df, shingle=5, hundredths=80, prefixes=True)
+    every, common = jaccard_join.sets_of([text, passage.encode()], 5)
+    first = seen.value.args[0](every)
+    assert (len(every), len(common), len(first)) == (29, 16, 6) and not np.isin(first, common).any()
+
+
 def test_jaccard_on_hard_rows(table, empty):
     text = dict(enumerate(HARD))
     want = plain_components(text)
