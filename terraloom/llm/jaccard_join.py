@@ -20,8 +20,8 @@ from .components import components
 SHINGLE, HUNDREDTHS = 3, 90
 #: Growth of the size bands.
 BAND = 1.15
-#: Classes of one signature that a task compares with each other by sketches; more are compared block by block.
-BLOCK = 1024
+#: Classes of one signature, and their shingles, that a task compares with each other; more are compared block by block.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Smallest signatures of a class that go with it, so that a pair with several in common meets under one.
 LEAST = 8
 #: Weight of an expected false candidate against a signature, in the cost of an allocation.
@@ -262,6 +262,13 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
 
 
+def _said(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, class, check and a text for each of the classes' ids; if two texts have one hash, a text that may be another's, too."""
+    used = classes.join(ids, "id").select("id", "class", "check", F.col("said").alias("__said"), F.col("first").alias("__first"))
+    found = texts.withColumn("__own", F.xxhash64("text")).join(used, F.expr("__own = __said AND doc_id <=> __first"))
+    return stored(found.select("id", "class", "check", "text").distinct(), "jaccard-texts")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, hundredths: int) -> DataFrame:
     """The pairs (a, b) of classes' ids that are links: sketches drop most of the others, the sets decide."""
 
@@ -290,16 +297,13 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(sift, "a long, b long"), "jaccard-near")
     if near.isEmpty():
         return near
-    used = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    used = classes.join(used, "id").select("id", "class", "check", F.col("said").alias("__said"), F.col("first").alias("__first"))
-    found = texts.withColumn("__own", F.xxhash64("text")).join(used, F.expr("__own = __said AND doc_id <=> __first"))
-    found = stored(found.select("id", "class", "check", "text").distinct(), "jaccard-texts")
+    found = _said(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, texts)
     left, right = (found.select(F.col("id").alias(k), F.col("class").alias(f"c{k}"), F.col("check").alias(f"d{k}"), F.col("text").alias(f"t{k}")) for k in "ab")
     return stored(near.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "da", "db", "ta", "tb").mapInArrow(decide, "a long, b long"), "jaccard-links")
 
 
 def _close(sig: int, n: np.ndarray, root: np.ndarray, ids: np.ndarray, side: np.ndarray, sketch: list[bytes], least: np.ndarray, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block that sizes and sketches allow and that no link joins yet; side: 0 meets 1, and 2 meets itself.
+    """Places of pairs of a block that sizes and sketches allow and that no link joins yet; side: 0 meets 1, and 2 meets itself.
 
     least: the LEAST smallest signatures of each. A pair that has a smaller one in common there meets under that one.
     """
@@ -331,69 +335,118 @@ def _close(sig: int, n: np.ndarray, root: np.ndarray, ids: np.ndarray, side: np.
                         a, b = least[i[k : k + (1 << 16)]], least[j[k : k + (1 << 16)]]
                         common = (a[:, :, None] == b[:, None, :]).any(2)
                         here = np.where(common, a, np.iinfo(np.int64).max).min(1) >= sig
-                        out.append((ids[i[k : k + (1 << 16)][here]], ids[j[k : k + (1 << 16)][here]]))
+                        out.append((i[k : k + (1 << 16)][here], j[k : k + (1 << 16)][here]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    return np.maximum(a, b), np.minimum(a, b)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
 
+def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by sig, low and high, as tables of whole pairs of blocks, and where in them each begins and the last ends."""
 
-def _met(rest: DataFrame, classes: DataFrame, hundredths: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a signature, aren't joined, and that sizes and sketches allow.
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.logical_or.reduce([(x := t.column(c).to_numpy())[1:] != x[:-1] for c in ("sig", "low", "high")])
+        return np.flatnonzero(new)
+
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        cuts = starts(held)
+        if len(cuts) > 1:
+            yield held.slice(0, cuts[-1]), cuts
+            held = held.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held, np.append(starts(held), held.num_rows)
+
+
+def _allowed(t: pa.Table, cuts: np.ndarray, hundredths: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of each pair of blocks, t's rows i to j, the places after i of the pairs that may link."""
+    sig, n, root, ids, side = (t.column(c).to_numpy() for c in ("sig", "n", "root", "id", "side"))
+    sketch = t.column("sketch").to_pylist()
+    least = np.array([x + [np.iinfo(np.int64).max] * (LEAST - len(x)) for x in t.column("least").to_pylist()], np.int64)
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if j - i > 1:
+            a, b = _close(sig[i], n[i:j], root[i:j], ids[i:j], side[i:j], sketch[i:j], least[i:j], hundredths)
+            if len(a):
+                yield i, j, a, b
+
+
+def _joining(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], root: np.ndarray, hundredths: int) -> Iterator[tuple[int, int]]:
+    """Of pairs of places, links enough to join what any of the pairs' links joins; at most one fewer than different roots."""
+    root, order = root.copy(), np.argsort(a, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        k, left, most = int(a[some[0]]), b[some], 8
+        mine = sets[k]
+        while len(left := left[root[left] != root[k]]):
+            now, left, most = left[:most], left[most:], 2 * most
+            sizes = np.array([len(sets[x]) for x in now])
+            both = np.concatenate([sets[x] for x in now])
+            same = mine[np.minimum(np.searchsorted(mine, both), len(mine) - 1)] == both
+            common = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
+            for x in now[links(common, sizes + len(mine), hundredths)].tolist():
+                if root[x] != root[k]:
+                    root[root == root[x]] = root[k]
+                    yield k, x
+
+
+def _met(rest: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, hundredths: int) -> DataFrame:
+    """Links (a, b) that join all classes that share a signature, aren't joined yet and are joined by links among them.
 
     rest(sig, id, n, root, met). A signature's classes meet in blocks of BLOCK, each pair of blocks in a task of its own, so
-    a hot signature spreads; a block holds numbers and sketches, not texts, and gives only what the sketches allow. Of
-    signatures that the same classes have, one is enough. A pair with several signatures in common meets under the least, if
-    that is among the LEAST smallest of both.
+    a hot signature spreads. First a block holds numbers and sketches and keeps the classes of pairs that the sketches allow;
+    these meet again, with their texts, and the sets decide. Pairs aren't rows: a pair of blocks gives classes, then fewer
+    links than it has roots. Of signatures that the same classes have, one is enough. A pair with several signatures in
+    common meets under the least, if that is among the LEAST smallest of both.
     """
     rest = stored(rest, "jaccard-rest")
-    alike = rest.groupBy("sig", "met").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"), F.min("id").alias("low"), F.max("id").alias("high"))
-    one = alike.groupBy("met", "print", "low", "high").agg(F.min("sig").alias("sig")).select("sig", "met")
+    blocks = F.ceil(F.greatest(F.col("met") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    alike = rest.groupBy("sig", "met").agg(blocks, F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"), F.min("id").alias("low"), F.max("id").alias("high"))
+    one = alike.groupBy("met", "blocks", "print", "low", "high").agg(F.min("sig").alias("sig")).select("sig", "met", "blocks")
     rest = stored(looked_up(rest.drop("met"), one, "sig", "met", rest.count()), "jaccard-meet")
     few = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LEAST).alias("least"))  # as many as a set has signatures
     sketched = classes.select("id", "sketch").join(few, "id")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.withColumn("blocks", F.ceil(F.col("met") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") < F.col("other")).cast("int"))
     rest = rest.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "n", "root", side.alias("side"))
     rest = rest.join(sketched, "id").repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def pairs(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
-            n, root, ids, side = (t.column(c).to_numpy() for c in ("n", "root", "id", "side"))
-            sig, sketch = t.column("sig").to_numpy(), t.column("sketch").to_pylist()
-            least = np.array([x + [np.iinfo(np.int64).max] * (LEAST - len(x)) for x in t.column("least").to_pylist()], np.int64)
-            got = [_close(int(sig[i]), n[i:j], root[i:j], ids[i:j], side[i:j], sketch[i:j], least[i:j], hundredths) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
-            both = np.unique(np.stack([np.concatenate([g[k] for g in got] or [np.zeros(0, np.int64)]) for k in (0, 1)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _units(batches):
+            at = [i + np.unique(np.concatenate([a, b])) for i, _, a, b in _allowed(t, cuts, hundredths)]
+            if at:
+                yield from t.take(pa.array(np.concatenate(at))).combine_chunks().to_batches()
 
-        def starts(t: pa.Table) -> np.ndarray:
-            new = np.ones(t.num_rows, bool)
-            new[1:] = np.logical_or.reduce([(x := t.column(c).to_numpy())[1:] != x[:-1] for c in ("sig", "low", "high")])
-            return np.flatnonzero(new)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = ["sig", "low", "high", "id", "n", "root", "side", "sketch", "least"]
+        for b, sets in _rows(batches, shingle):
+            named = zip(sets, b.column("class").to_pylist(), b.column("check").to_pylist(), strict=True)
+            right = pa.array([class_of(s) == (x, y) for s, x, y in named], pa.bool_())  # two texts may have one hash
+            yield pa.RecordBatch.from_arrays([*b.select(cols).columns, pa.array([s.tobytes() for s in sets], pa.binary())], [*cols, "set"]).filter(right)
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            cuts = starts(held)
-            if len(cuts) > 1:
-                yield pairs(held, cuts)
-                held = held.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield pairs(held, np.append(starts(held), held.num_rows))
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _units(hashed(batches)):
+            ids, root, sets = t.column("id").to_numpy(), t.column("root").to_numpy(), [np.frombuffer(s, U) for s in t.column("set").to_pylist()]
+            found = [(ids[i + x], ids[i + y]) for i, j, a, b in _allowed(t, cuts, hundredths) for x, y in _joining(a, b, sets[i:j], root[i:j], hundredths)]
+            both = np.sort(np.array(found, np.int64).reshape(-1, 2), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(both[:, 0])], ["a", "b"])
 
-    return rest.mapInArrow(run, "a long, b long").distinct()
+    kept = stored(rest.mapInArrow(keep, rest.schema), "jaccard-kept")
+    if kept.isEmpty():
+        return kept.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    again = kept.join(_said(kept.select("id").distinct(), classes, texts), "id").repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    return stored(again.mapInArrow(decide, "a long, b long").distinct(), "jaccard-links")
 
 
 def linked(signed: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, hundredths: int) -> DataFrame:
-    """Components (node, root) of the links between classes' ids; candidates are verified pair by pair.
+    """Components (node, root) of the links between classes' ids; candidates are verified on the sets.
 
     classes(id, class, check, n, sketch, said, first); signed(sig, class). First each class meets one of those of its
     signature, another for each signature: as many pairs as signatures, and where many are alike they join most. After that,
-    all pairs that share a signature and are not joined yet meet in blocks.
+    all that share a signature and are not joined yet meet in blocks.
     """
     signed = stored(signed, "jaccard-signed")
     mixed = F.col("class").bitwiseXOR(F.xxhash64("sig"))
@@ -411,7 +464,7 @@ def linked(signed: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int
     now = stored(shared.select("sig", "class").join(named, "class").select("sig", "id", "n", "root").distinct(), "jaccard-roots")
     groups = now.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met")).filter("low <> high").select("sig", "met")
     rest = looked_up(now, groups, "sig", "met", now.count())
-    more = verified(stored(_met(rest, classes, hundredths), "jaccard-pairs"), classes, texts, shingle, hundredths)
+    more = _met(rest, classes, texts, shingle, hundredths)
     return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 

@@ -478,6 +478,39 @@ def test_all_rows_say_which_shingles_are_rare(spark, monkeypatch):
     assert (len(every), len(common), len(first)) == (29, 16, 6) and not np.isin(first, common).any()
 
 
+def test_groups_make_no_more_rows_than_signatures(spark, monkeypatch):
+    """Sets that share most shingles, of one passage none linked, of the other all by a few that link to many."""
+    rng = random.Random(6)
+
+    def group(size):
+        texts = {}
+        for k in range(size):
+            own = 3 if k % 2 and k % 5 == 0 else 8
+            texts[k] = " ".join([f"{'ab'[k % 2]}{x}" for x in range(60)] + [f"w{rng.randrange(10**9)}" for _ in range(own)])
+        return texts
+
+    def run(texts):
+        made = {}
+
+        def counted(df, name, stored=jaccard_join.stored):
+            out = stored(df, name)
+            made[name] = max(made.get(name, 0), out.count())
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(jaccard_join, "stored", counted)
+            df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+            got = {r["doc_id"]: r["component_id"] for r in rows(jaccard_join.jaccard_components(df, shingle=5, hundredths=80, prefixes=True))}
+        want = five_word_groups(texts)
+        assert got == want and len(set(want.values())) == len(texts) // 2 + 1
+        return made
+
+    made = run(group(400))
+    assert {k: n for k, n in made.items() if n > made["jaccard-signed"]} == {}
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 700)
+    run(group(80))
+
+
 def test_jaccard_on_hard_rows(table, empty):
     text = dict(enumerate(HARD))
     want = plain_components(text)
