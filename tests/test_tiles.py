@@ -72,7 +72,7 @@ def shuffled(spark):
     return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
 
 
-@pytest.mark.parametrize("name, most", [("knn", 4), ("distance_to_class", 2), ("nearest_interp", 2), ("idw_interp", 2), ("buffer_mean", 4)])
+@pytest.mark.parametrize("name, most", [("knn", 4), ("distance_to_class", 2), ("nearest_interp", 2), ("idw_interp", 2), ("gwr", 8), ("gwr_summary", 8), ("ols_against_gwr", 8), ("buffer_mean", 4)])
 def test_shuffles_points_not_pairs(spark, cloud, name, most):
     before = shuffled(spark)
     q = registry.QUERIES[name](spark, cloud)
@@ -80,6 +80,13 @@ def test_shuffles_points_not_pairs(spark, cloud, name, most):
     assert shuffled(spark) - before < most * 1e6
 
 
+def test_a_point_among_many_of_one_place_keeps_its_own_values(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, 0.0, 0.0, float(a), float(3 * a + 1)) for k, a in enumerate(rng.normal(size=40))]
+    got = {r["id"]: r for r in regression.gwr(spark.createDataFrame(rows, "id long, x double, y double, u double, v double"), "v", ["u"], 11, 0.5).collect()}
+    assert all(abs(got[k]["fitted"] - v) < 1e-6 and abs(got[k]["residual"]) < 1e-6 for k, *_, v in rows)
+
+
 @pytest.mark.parametrize("itself", [False, True])
 def test_sums_over_many_tiles(spark, small, itself):
     ids, x, y, far = scattered()
