@@ -72,7 +72,7 @@ def shuffled(spark):
     return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
 
 
-@pytest.mark.parametrize("name, most", [("knn", 4), ("distance_to_class", 2), ("nearest_interp", 2), ("idw_interp", 2), ("gwr", 8), ("gwr_summary", 8), ("ols_against_gwr", 8), ("gwr_bandwidth", 30), ("distance_band_weights", 4), ("moran_i", 4), ("buffer_mean", 4)])
+@pytest.mark.parametrize("name, most", [("knn", 4), ("distance_to_class", 2), ("nearest_interp", 2), ("idw_interp", 2), ("gwr", 8), ("gwr_summary", 8), ("ols_against_gwr", 8), ("gwr_bandwidth", 30), ("distance_band_weights", 4), ("moran_i", 4), ("gi_star", 4), ("buffer_mean", 4)])
 def test_shuffles_points_not_pairs(spark, cloud, name, most):
     before = shuffled(spark)
     q = registry.QUERIES[name](spark, cloud)
