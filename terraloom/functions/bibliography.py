@@ -90,8 +90,9 @@ def pages(start: Column, end: Column, number: Column) -> Column:
 
 
 def relevant(terms: Sequence[str], *texts: Column) -> Column:
-    """Whether any term occurs, whatever the case: one alternation of quoted terms."""
-    return F.concat_ws(" ", *texts).rlike("(?i)" + "|".join("\\Q" + t + "\\E" for t in terms))
+    """Whether any term occurs, whatever the case: one alternation of quoted terms. Letters change case one by one, so that a dotted capital I is an i."""
+    text = F.lower(F.replace(F.concat_ws(" ", *texts), F.lit("\u0130"), F.lit("i")))
+    return text.rlike("|".join("\\Q" + t.lower() + "\\E" for t in terms))
 
 
 def excluded(kind: Column, cited: Column) -> Column:
