@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +101,10 @@ def first_by_key(df: DataFrame, key: str, order: Sequence[str], known: DataFrame
     return keyed.unionByName(df.filter(blank))
 
 
+#: What suffixes may be made of.
+_TAIL = "[^\\x00-`]+$"
+
+
 def letters(n: Column) -> Column:
     """0 is a, 25 is z, 26 is aa, 701 is zz, 702 is aaa, and so on."""
     start = F.struct(n.cast("long").alias("n"), F.lit("").alias("s"))
@@ -108,11 +112,19 @@ def letters(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, step, lambda a: a["s"])
 
 
-def suffixed(df: DataFrame, key: str, order: Sequence[str], known: DataFrame | None = None, rounds: int = 20) -> DataFrame:
+def two_letters(n: Column) -> Column:
+    """As `letters` up to 701; then the first of two runs on past z through the code points, the second goes from a to z."""
+    n = n.cast("long")
+    first = F.decode(F.unhex(F.lpad(F.hex(F.lit(96) + F.floor(F.try_divide(n, F.lit(26))).cast("long")), 8, "0")), "UTF-32")
+    return F.concat(F.when(n >= 26, first).otherwise(F.lit("")), F.char(97 + n % 26))
+
+
+def suffixed(df: DataFrame, key: str, order: Sequence[str], known: DataFrame | None = None, rounds: int = 20, suffix: Callable[[Column], Column] = letters) -> DataFrame:
     """Makes keys unique, among themselves and against `known`: the first of a key keeps it, the others get a, b, ..., z, aa, ...
 
     A suffix that makes a key that is taken is passed over. Two keys may make one (k with aa, ka with a): the shorter has it,
-    the other is dealt anew; such rounds end when no two rows have one key.
+    the other is dealt anew; such rounds end when no two rows have one key. `suffix` makes a suffix of a number from 0 on, of
+    characters from a on.
     """
     w = Window.partitionBy(key).orderBy(*order)
     d = df.withColumn("__row", F.monotonically_increasing_id())
@@ -130,10 +142,10 @@ def suffixed(df: DataFrame, key: str, order: Sequence[str], known: DataFrame | N
         if left.isEmpty():
             break
         need = left.groupBy("__base").agg(F.count("*").alias("__m"))
-        base = F.regexp_replace("__key", "[a-z]+$", "")
-        clash = taken.withColumn("__root", base).join(need.select("__base", F.regexp_replace("__base", "[a-z]+$", "").alias("__root")), "__root").groupBy("__base").agg(F.count("*").alias("__c"))
+        base = F.regexp_replace("__key", _TAIL, "")
+        clash = taken.withColumn("__root", base).join(need.select("__base", F.regexp_replace("__base", _TAIL, "").alias("__root")), "__root").groupBy("__base").agg(F.count("*").alias("__c"))
         free = need.join(clash, "__base", "left").withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m") + F.coalesce("__c", F.lit(0)) - 1)))
-        free = free.withColumn("__key", F.concat("__base", letters(F.col("__j")))).join(taken, "__key", "left_anti")
+        free = free.withColumn("__key", F.concat("__base", suffix(F.col("__j")))).join(taken, "__key", "left_anti")
         free = free.withColumn("__n", F.row_number().over(Window.partitionBy("__base").orderBy("__j"))).select("__base", "__n", "__key")
         rank = F.row_number().over(Window.partitionBy("__base").orderBy("__n"))
         got = left.withColumn("__n", rank).join(free, ["__base", "__n"])

@@ -22,3 +22,11 @@ def test_terms_of_any_case(spark, tmp_path):
     texts = ["SCHÖNE Welt", "schön", "Schön", "İNVEST", "ınvest", "Kolumbien MARKOV CHAIN", "LAND UſE", "nichts", None, "THE\nREOF", "ThereOF", "(GWR)"]
     docs = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
     assert [r[0] for r in same(spark, tmp_path, "relevance_filter", documents=docs)] == [0, 1, 3, 5, 10, 11]
+
+
+def test_keys_past_two_letters(spark, tmp_path):
+    """More than 703 rows of a key, of which one ends with a digit that begins another's."""
+    n = 8000
+    rows = pa.table({"c_custkey": pa.array(range(n), pa.int64()), "c_mktsegment": ["A"] * n, "c_nationkey": pa.array([1 if k % 8 else 12 for k in range(n)], pa.int32())})
+    keys = {r[1] for r in same(spark, tmp_path, "dedup_key", customer=rows)}
+    assert len(keys) == n and {"A1", "A1a", "A1aa", "A1zz", "A1{a", "A12zz"} <= keys
